@@ -1,0 +1,29 @@
+"""All matches of a pattern with their code point offsets, in native array functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from lectern.llm.common import let, prefix_sums
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,value>>: leftmost non-overlapping matches, end exclusive.
+
+    ``split`` gives the gaps and ``regexp_extract_all`` the matches of one and the
+    same search, so their lengths in turn add up to the offsets.
+    """
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"), F.split(text, pattern, -1).alias("g"))
+
+    def place(b: Column) -> Column:
+        steps = F.zip_with(b["v"], F.slice(b["g"], 1, F.size(b["v"])), lambda v, g: F.length(v) + F.length(g))
+        return let(
+            prefix_sums(steps),
+            lambda p: F.transform(
+                b["v"],
+                lambda v, i: F.struct((p[i] + F.length(b["g"][i])).alias("start"), (p[i] + F.length(b["g"][i]) + F.length(v)).alias("end"), v.alias("value")),
+            ),
+        )
+
+    return let(both, place)
