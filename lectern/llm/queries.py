@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import read
 from lectern.llm.exact_dedup import exact_duplicates
+from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.pii import BASE_KINDS, find_pii, span_string
+from lectern.llm.quality import quality_rules
+from lectern.llm.url_trust import filter_urls
+
+
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"))
 
 
 def _count_of(kind: str) -> Column:
@@ -31,10 +38,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines removed, and length and SHA-256 of what is left of the text."""
+    done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+    return done.select("doc_id", F.col("n_removed").cast("bigint"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_trust": op1_url_trust,
         "op3_pii": op3_pii,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
