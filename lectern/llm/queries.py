@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.bpe import bpe_encode
 from lectern.llm.common import read
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.pii import BASE_KINDS, find_pii, span_string
 from lectern.llm.quality import quality_rules
+from lectern.llm.token_counts import count_tokens
 from lectern.llm.url_trust import filter_urls
 
 
+#: Vocabulary files are read where the tokenizer package has them; both are parameters of the operators.
+BPE_FILE, PIECE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_encode(read(spark, sf_dir, "documents"), BPE_FILE)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("_pii", lambda s: s["kind"] == kind)).cast("bigint")
 
@@ -42,6 +55,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), PIECE_FILE)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines removed, and length and SHA-256 of what is left of the text."""
     done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
@@ -51,9 +68,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_trust": op1_url_trust,
+        "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_counts": op8_token_counts,
         "op10_line_dedup": op10_line_dedup,
     }
 
