@@ -37,6 +37,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = F.unhex(F.sha2(ascii_lower(F.col("_text")), 256))
     gated = rows.crossJoin(by_prefix).withColumn("_in", passes(F.col("_gate"), start))
     groups = gated.filter("_in").groupBy(whole.alias("_sha")).agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups = checkpoint(groups)  # so that the join has a shuffle of its own on either side, whose hot partitions can be split
 
     full = whole if digest else F.when(F.col("_in"), whole)
     # rows that can't have a copy get a key of their own, not null, which would put them all into one task

@@ -79,9 +79,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "_id", text_col: str = "_text"
     found = keyed.crossJoin(gate).select(id_col, "_th", F.explode(let(chunks(F.col(text_col)), lambda c: picked(c, F.col("_gate")))).alias("c"))
     found = found.select(id_col, "_th", F.col("c.hash").alias("_hash"), "c.ord", "c.first", "c.n", "c.lines", "c.prev", "c.next")
     same = lambda: F.struct(F.col(id_col).alias("id"), F.col("_th").alias("th"), F.col("ord").alias("ord"))
-    rows = found.join(known, "_hash").withColumn("_own", same().eqNullSafe(F.col("_at")))
+    rows = checkpoint(found.join(known, "_hash").withColumn("_own", same().eqNullSafe(F.col("_at"))).drop("_at", "_n"))
     # rows that share id and text are one document, whose first occurrence is one
     firsts = rows.filter("_own").select("_hash", F.col("lines").alias("l0"), F.col("prev").alias("p0"), F.col("next").alias("n0")).dropDuplicates(["_hash"])
+    firsts = checkpoint(firsts)  # a join of two plain shuffles, whose hot partitions can be split
     later = rows.filter("not _own").select(id_col, "_th", "_hash", "first", "n", "lines", "prev", "next").join(firsts, "_hash").filter("lines = l0")
     before = _common_prefix(F.reverse("prev"), F.reverse("p0"))
     after = _common_prefix(F.col("next"), F.col("n0"))
