@@ -60,12 +60,13 @@ def bit_gate(keys: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
         keys.select(pos.alias("_pos"))
         .groupBy(F.floor(F.col("_pos") / _CHUNK).cast("int").alias("_k"))
         .agg(F.expr(f"bitmap_construct_agg(_pos % {_CHUNK})").alias("_bits"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("_k", "_bits"))).alias("_gate"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_k", "_bits"))).alias("_m"))
+        .select(F.transform(F.sequence(F.lit(0), F.lit(bits // _CHUNK - 1)), lambda k: F.col("_m")[k]).alias("_gate"))
     )
 
 
 def passes(gate: Column, key: Column, bits: int = 1 << 23) -> Column:
-    """Whether a key's bit is set in the map of ``bit_gate``."""
+    """Whether a key's bit is set in the bitmaps of ``bit_gate``."""
     pos = F.pmod(key, F.lit(bits))
     byte = F.substring(gate[F.floor(pos / _CHUNK).cast("int")], F.floor((pos % _CHUNK) / 8).cast("int") + 1, F.lit(1))
     found = F.conv(F.hex(byte), 16, 10).cast("bigint")

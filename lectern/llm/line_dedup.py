@@ -72,7 +72,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "_id", text_col: str = "_text"
     empty = F.array().cast("array<string>")
 
     def picked(c: Column, gate_col: Column) -> Column:
-        near = lambda j: F.coalesce(F.get(c, F.when(j >= 0, j))["lines"], empty)
+        # a neighbour that recurs is matched itself; only where a run of such chunks ends are its lines needed
+        def near(j: Column) -> Column:
+            return let(F.get(c, F.when(j >= 0, j)), lambda x: F.when(x.isNull() | passes(gate_col, x["hash"]), empty).otherwise(x["lines"]))
+
         rows = F.transform(c, lambda x, j: F.struct(x["ord"].alias("ord"), x["first"].alias("first"), x["n"].alias("n"), x["hash"].alias("hash"), x["lines"].alias("lines"), near(j - 1).alias("prev"), near(j + 1).alias("next")))
         return F.filter(rows, lambda x: passes(gate_col, x["hash"]))
 
@@ -123,13 +126,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the earliest. ``removed`` names a column for the number of lines removed.
     """
     # names that no column of docs may have
-    rows = docs.withColumns({"_ld_id": F.col(id_col).cast("string"), "_ld_text": F.coalesce(F.col(text_col), F.lit("")), "_ld_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    drops = repeated_lines(rows.select(F.col(id_col).alias("_id"), F.col("_ld_text").alias("_text")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns({"_ld_id": F.col(id_col).cast("string"), "_ld_th": F.xxhash64(text)})
+    drops = checkpoint(repeated_lines(docs.select(F.col(id_col).alias("_id"), text.alias("_text"))))
     drops = drops.select(F.col("_id").cast("string").alias("_ld_id2"), F.col("_th").alias("_ld_th2"), F.col("drop").alias("_ld_drop"))
-    joined = rows.join(drops, F.col("_ld_id").eqNullSafe(F.col("_ld_id2")) & (F.col("_ld_th") == F.col("_ld_th2")), "left")
-    both = F.when(F.col("_ld_drop").isNotNull(), let(F.split("_ld_text", "\n", -1), lambda x: let(_without(x, F.col("_ld_drop"), min_words), lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(x) - F.size(k)).alias("gone")))))
-    out = joined.withColumn("_ld_new", both)
+    # texts that lose nothing go past the join: the bitmap tells most of them
+    key = F.xxhash64("_ld_id", "_ld_th")
+    gate = F.broadcast(bit_gate(drops.select(F.xxhash64("_ld_id2", "_ld_th2").alias("_k")), "_k").withColumnRenamed("_gate", "_ld_gate"))
+    gated = rows.crossJoin(gate).withColumn("_ld_in", passes(F.col("_ld_gate"), key)).drop("_ld_gate")
+    joined = gated.filter("_ld_in").join(drops, F.col("_ld_id").eqNullSafe(F.col("_ld_id2")) & (F.col("_ld_th") == F.col("_ld_th2")), "left")
+    both = F.when(F.col("_ld_drop").isNotNull(), let(F.split(text, "\n", -1), lambda x: let(_without(x, F.col("_ld_drop"), min_words), lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(x) - F.size(k)).alias("gone")))))
     gone = F.coalesce(F.col("_ld_new.gone"), F.lit(0))
-    out = out.withColumn(text_col, F.when(gone > 0, F.col("_ld_new.text")).otherwise(F.col(text_col)))
-    out = out.withColumn(removed, gone) if removed else out
-    return out.drop("_ld_id", "_ld_text", "_ld_th", "_ld_id2", "_ld_th2", "_ld_drop", "_ld_new")
+    changed = joined.withColumn("_ld_new", both).withColumn(text_col, F.when(gone > 0, F.col("_ld_new.text")).otherwise(F.col(text_col))).withColumn("_ld_gone", gone)
+    whole = gated.filter("not _ld_in").withColumn("_ld_gone", F.lit(0))
+    out = changed.drop("_ld_id2", "_ld_th2", "_ld_drop", "_ld_new").unionByName(whole)
+    out = out.withColumn(removed, F.col("_ld_gone")) if removed else out
+    return out.drop("_ld_id", "_ld_th", "_ld_in", "_ld_gone")
