@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import mixing, toxicity
 from lectern.llm.bpe import bpe_encode
 from lectern.llm.common import read
 from lectern.llm.exact_dedup import exact_duplicates
@@ -51,6 +52,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.grade_toxicity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -59,6 +65,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), PIECE_FILE)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines removed, and length and SHA-256 of what is left of the text."""
     done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
@@ -71,8 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
+        "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
     }
 
