@@ -13,6 +13,7 @@ from lectern.llm.bpe import bpe_encode
 from lectern.llm.common import read
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.line_dedup import dedup_lines
+from lectern.llm.near_dedup import near_classes
 from lectern.llm.pii import BASE_KINDS, find_pii, span_string
 from lectern.llm.quality import quality_rules
 from lectern.llm.token_counts import count_tokens
@@ -48,6 +49,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"), digest=True)
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_trust": op1_url_trust,
         "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
+        "op4_near_dedup": op4_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
