@@ -1,17 +1,71 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+``run`` writes each stage's result as Parquet into the shared folder named by
+``spark.checkpoint.dir`` and reads it again as the next one's documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import mixing, toxicity
+from lectern.llm.bpe import bpe_encode
+from lectern.llm.common import read, shared_folder
+from lectern.llm.line_dedup import dedup_lines
+from lectern.llm.near_dedup import keep_one
+
+BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity model, fitted on the labels, rejects them go; all others stay as they are."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.grade_toxicity(docs, model, carry=True).filter("not rejected").select(docs.columns)
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from all but their first document; every document stays, with its length counted anew."""
+    return dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix has no copy of go. The classifier learns from all labelled documents, not only those that are left."""
+    model = mixing.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.mix(docs, model, carry=True).filter("copies > 0").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens, their ids, and a digest of what decoding makes of them."""
+    coded = bpe_encode(docs, BPE_FILE)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_passages),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
 #: The stages fit models and draw signatures, which SQL can't express; they are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

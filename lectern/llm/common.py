@@ -18,19 +18,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines share.
 
-    Only where that is unset a folder is chosen here: a temporary one for a
-    local master, else one beside the warehouse, which executors share.
+    Only where that is unset one is chosen here: a temporary one for a local
+    master, else one beside the warehouse.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
         if not own and sc.master.startswith("local") and "cluster" not in sc.master:
             own = tempfile.mkdtemp(prefix="lectern-checkpoints-")
         sc.setCheckpointDir(own or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -21,8 +21,8 @@ _NO_ID = -(1 << 63)
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """_id, bag (16 bytes that stand for the multiset of shingles), bands: of each row of (_id, _text), in one scan."""
-    schema = pa.schema([("_id", pa.int64()), ("bag", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """_id, _th, bag (16 bytes that stand for the multiset of shingles), bands: of each row of (_id, _th, _text), in one scan."""
+    schema = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("bag", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "_text"):
@@ -31,9 +31,9 @@ def sign(rows: DataFrame) -> DataFrame:
             ends = np.searchsorted(doc, np.arange(len(texts) + 1))
             content = [hashlib.md5(shingle[a:b].tobytes() + weight[a:b].astype(np.int64).tobytes()).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(content, type=pa.binary()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, type=pa.binary()), lists], schema=schema)
 
-    return rows.mapInArrow(run, "_id bigint, bag binary, bands array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _th bigint, bag binary, bands array<bigint>")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -99,7 +99,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     different classes are left, all of them. A pair at the threshold is missed
     by all bands with a probability under 1e-5, one above it less often.
     """
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
     signed = checkpoint(sign(rows))
     # equal bags have equal bands
     nodes = checkpoint(signed.groupBy("bag").agg(F.min(F.struct("_id", "bands")).alias("m")).select("bag", F.col("m._id").alias("id"), F.col("m.bands").alias("bands")))
@@ -134,6 +135,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels = components(tried.filter("linked"))
 
     named = checkpoint(nodes.select("bag", "id").join(labels, "id", "left").select("bag", F.coalesce("comp", "id").alias("class_id")))
-    out = signed.select("_id", "bag").join(named, "bag")
+    out = signed.select("_id", "_th", "bag").join(named, "bag")
     given = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(given("_id").alias(id_col), given("class_id").alias("class_id"), (F.col("_id") == F.col("class_id")).alias("kept"))
+    return out.select(given("_id").alias(id_col), given("class_id").alias("class_id"), (F.col("_id") == F.col("class_id")).alias("kept"), F.col("_th").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class, all columns as they are.
+
+    Rows equal in id and text count as one document, of which one row stays.
+    Only rows that may have to go take part in a shuffle; a bitmap of fixed size
+    lets the others past.
+    """
+    found = near_classes(docs, id_col, text_col, threshold)
+    key = lambda a, b: F.xxhash64(a, b)
+    seen = found.groupBy(key(F.col(id_col), F.col("text_hash")).alias("_nd_key")).agg(F.max("kept").alias("_nd_kept"), F.count(F.lit(1)).alias("_nd_n"))
+    odd = checkpoint(seen.filter("not _nd_kept or _nd_n > 1"))
+    gate = F.broadcast(bit_gate(odd, "_nd_key").withColumnRenamed("_gate", "_nd_gate"))
+    gated = docs.withColumn("_nd_key", key(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).crossJoin(gate).withColumn("_nd_in", passes(F.col("_nd_gate"), F.col("_nd_key"))).drop("_nd_gate")
+    left = gated.filter("_nd_in").join(odd.filter("not _nd_kept").select("_nd_key"), "_nd_key", "left_anti").dropDuplicates(["_nd_key"])
+    return left.unionByName(gated.filter("not _nd_in")).drop("_nd_key", "_nd_in")

@@ -50,7 +50,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(read(spark, sf_dir, "documents"))
+    return near_classes(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

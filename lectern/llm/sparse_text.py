@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lectern.llm.arrow import Memory, pieces
 
@@ -165,19 +166,27 @@ def fit_softmax(counts: list[Counter], y: np.ndarray, index: dict[str, int], cla
     return w, b
 
 
-def apply(docs: DataFrame, id_col: str, text_col: str, names: list[str], score: object) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_words`` and the doubles that ``score(text, words)`` gives, over whole texts, without a shuffle."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), *((n, pa.float64()) for n in names)])
+def apply(docs: DataFrame, id_col: str, text_col: str, names: list[str], score: object, carry: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_words`` and the doubles that ``score(text, words)`` gives, over whole texts, without a shuffle.
+
+    With ``carry``, all columns of ``docs`` instead of the id; the new ones replace any of the same name.
+    """
+    new = ["n_words", *names]
+    rows = docs.drop(*new) if carry else docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    kept = StructType(rows.schema.fields if carry else rows.schema.fields[:1])
+    schema = StructType([*kept.fields, StructField("n_words", LongType()), *(StructField(n, DoubleType()) for n in names)])
+    text = text_col if carry else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "_text"):
+        for batch, texts in pieces(batches, text):
             sizes, out = [], []
             for t in texts:
                 found = words(t)
                 sizes.append(len(found))
                 out.append(score(t, found))
-            cols = [pa.array([o[k] for o in out], type=pa.float64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, type=pa.int64()), *cols], schema=schema)
+            cols = [pa.array(sizes, type=pa.int64()), *(pa.array([o[k] for o in out], type=pa.float64()) for k in range(len(names)))]
+            n = len(kept.fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *cols], names=[*batch.schema.names[:n], *new])
 
-    return rows.mapInArrow(run, "_id bigint, n_words bigint, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("_id", id_col)
+    scored = rows.mapInArrow(run, schema)
+    return scored if carry else scored.withColumnRenamed("_id", id_col)

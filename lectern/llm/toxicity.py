@@ -64,18 +64,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Sever
     return Severity(sample(docs, labels, F.when(F.col("toxic") > 0, 1).when(F.col("toxic").isNotNull(), 0), rows=rows))
 
 
-def grade_toxicity(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade_toxicity(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``p_1`` to ``p_3`` (probability of that grade or more), ``severity``, ``grade``, ``rejected``.
 
     ``severity`` is the expected grade, ``grade`` the most severe one reached with
     probability one half. Whole texts; null counts as empty and has the score of a
     text without known words; repeated rows are graded each; an empty table gives
-    an empty result; further columns of ``docs`` are ignored. A model fitted on no
+    an empty result; further columns of ``docs`` are left out, or with ``carry``
+    kept, the new ones replacing those of the same name. A model fitted on no
     labels, or on one class only, rejects nothing. The model is bounded, and the
     scan needs no shuffle.
     """
     names = [f"p_{k}" for k in range(1, GRADES)]
-    scored = apply(docs, id_col, text_col, names, model.score)
+    scored = apply(docs, id_col, text_col, names, model.score, carry)
     total = lambda cols: sum(cols[1:], cols[0])
     return scored.withColumns(
         {
