@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from lectern.llm.bag_minhash import BANDS, bag_of, bags, band_keys, signatures,
 from lectern.llm.common import bit_gate, checkpoint, passes
 
 SIMILARITY = 0.8
-#: Rounds in which each bucket that spans several classes is compared with one more leader, before all its rest is.
-LEADER_ROUNDS = 3
+#: Documents in one block of a comparison, about.
+BLOCK = 128
 _NO_ID = -(1 << 63)
 
 
@@ -36,18 +37,19 @@ def sign(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_id bigint, _th bigint, bag binary, bands array<bigint>")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """a, b, linked: whether each pair of ids reaches the similarity, by the exact overlap of their shingles.
-
-    Only the texts of ids in some pair are shuffled: a bitmap of fixed size keeps
-    the others out.
-    """
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+def texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """_id, _text of the ids. Only their texts are shuffled: a bitmap of fixed size keeps the others out."""
+    ids = ids.distinct()
     gate = F.broadcast(bit_gate(ids, "_id"))
-    texts = rows.crossJoin(gate).filter(passes(F.col("_gate"), F.col("_id"))).select("_id", "_text").join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    texts = checkpoint(texts)
+    near = rows.crossJoin(gate).filter(passes(F.col("_gate"), F.col("_id"))).select("_id", "_text")
+    return checkpoint(near.join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")))
+
+
+def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, sim: the weighted Jaccard similarity of each pair of ids, by the exact overlap of their shingles."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")), rows)
     both = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -57,28 +59,85 @@ def verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
                 # rows of the same leader follow each other
                 if last is None or last[0] != a.as_py():
                     last = (a.as_py(), bag_of(ta.as_py()))
-                out.append(similarity(last[1], bag_of(tb.as_py())) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], schema=schema)
+                out.append(similarity(last[1], bag_of(tb.as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=pa.float64())], schema=schema)
+
+    return checkpoint(both.mapInArrow(run, "a bigint, b bigint, sim double"))
 
-    return checkpoint(both.mapInArrow(run, "a bigint, b bigint, linked boolean"))
+
+def verify_rest(tried: DataFrame, labels: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all links between documents of different classes that share a leader.
+
+    Two documents of one bucket share its leader, so no candidate is left out. The
+    documents of a leader outside its largest class meet all of its others, block by
+    block: a task holds two blocks of about ``BLOCK`` documents and
+    counts the overlaps of one document with a whole block at once, through the
+    shingles they share. Pairs are never rows; only links come out.
+    """
+    own = checkpoint(tried.select(F.col("a").alias("g"), F.col("b").alias("id")).join(labels, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")))
+    sizes = own.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
+    sizes = checkpoint(sizes.filter("n > m"))
+    open_ = checkpoint(own.join(sizes, "g").select("g", "id", "comp", (F.col("comp") != F.col("main")).alias("x"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("nx"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ny")))
+    texts = texts_of(open_.select(F.col("id").alias("_id")), rows)
+    spread = F.xxhash64("id", F.lit(7))
+    xs = open_.filter("x").select("g", "id", "comp", F.lit(True).alias("x"), F.pmod(spread, F.col("nx")).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
+    ys = open_.select("g", "id", "comp", F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), F.pmod(spread, F.col("ny")).cast("int").alias("yb"))
+    placed = xs.unionByName(ys).join(texts.withColumnRenamed("_id", "id"), "id")
+    blocks = placed.repartition("g", "xb", "yb").sortWithinPartitions("g", "xb", "yb").select("g", "xb", "yb", "id", "comp", "x", "_text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: (r["g"], r["xb"], r["yb"])):
+            block = list(held)
+            found = block_links([r for r in block if r["x"]], [r for r in block if not r["x"]], threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+
+    return checkpoint(blocks.mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def block_links(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """(id, id) of the pairs of one of ``xs`` and one of ``ys``, of different classes, that reach the similarity."""
+    if not xs or not ys:
+        return []
+    owner, shingle, weight = bags([word_hashes(r["_text"]) for r in ys])
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle, weight = owner[order], shingle[order], weight[order]
+    total = np.bincount(owner, weights=weight, minlength=len(ys))
+    comp, ids = np.array([r["comp"] for r in ys]), np.array([r["id"] for r in ys])
+    out = []
+    for r in xs:
+        own, count = bag_of(r["_text"])
+        lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+        n = hi - lo
+        # the places in ys of each shingle of r, one after the other
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        shared = np.bincount(owner[at], weights=np.minimum(weight[at], np.repeat(count, n)), minlength=len(ys))
+        whole = total + count.sum() - shared
+        linked = (shared >= threshold * whole) & (whole > 0) & (comp != r["comp"])
+        out += [(min(r["id"], int(i)), max(r["id"], int(i))) for i in ids[linked]]
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, comp: the smallest id that each end of a link is connected with.
 
     Smallest labels spread along links and then along labels, which halves long
-    chains; what a hub receives is pre-aggregated. Nothing goes to the driver but the number of changes.
+    chains; what a hub receives is pre-aggregated. Labels only ever fall, so their
+    sum tells when none has: that one number is all the driver gets.
     """
     ways = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(ways.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
+    last = None
     while True:
-        near = ways.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        own = labels.join(near, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        jumped = own.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left")
-        new = checkpoint(jumped.select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        labels = new.select("id", "comp")
-        if new.filter("comp <> old").limit(1).count() == 0:
+        total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if total == last:
             return labels
+        last = total
+        near = ways.join(labels.select(F.col("id").alias("b"), "comp"), "b").select(F.col("a").alias("id"), "comp")
+        own = labels.unionByName(near).groupBy("id").agg(F.min("comp").alias("comp"))
+        up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        labels = checkpoint(own.join(up, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -93,10 +152,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest text stands for the id in comparisons. A null id counts as the smallest. An
     empty table gives an empty result; further columns of ``docs`` are ignored.
 
-    Pairs that share a band are compared without forming all pairs of a bucket:
-    each bucket first with its most central member, then, where it still spans
-    several classes, with other members in turn, and last whatever pairs of
-    different classes are left, all of them. A pair at the threshold is missed
+    Pairs that share a band are compared without forming all pairs of a bucket.
+    Each bucket is first compared with its most central member, which joins most
+    near copies into one class. Then, where a bucket still spans several classes,
+    pairs of different classes are compared, all of them but those that the first
+    comparison rules out: one minus the similarity is a metric, so two
+    documents whose distances from a third differ by more than the limit
+    are further apart than it. A pair at the threshold is missed
     by all bands with a probability under 1e-5, one above it less often.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -114,25 +176,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = checkpoint(members.groupBy("id").agg(F.sum("n").alias("w")))
     leaders = checkpoint(members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct(F.col("w"), -F.col("id"))).alias("a")))
     pairs = checkpoint(members.join(leaders, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct())
-    tried = verify(pairs, rows, threshold)
-    labels = components(tried.filter("linked"))
-
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("a"), F.min_by("comp", F.xxhash64("id", "key", F.lit(turn))).alias("ca"))
-        split = checkpoint(split.filter("lo <> hi").select("key", "a", "ca"))
-        if turn < LEADER_ROUNDS:
-            pairs = placed.join(split, "key").filter("comp <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        else:
-            open_ = checkpoint(placed.join(split.select("key"), "key"))
-            other = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            pairs = open_.withColumnRenamed("id", "a").join(other, "key").filter("a < b and comp <> cb").select("a", "b")
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = checkpoint(pairs.distinct().join(known, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count() == 0:
-            continue
-        tried = checkpoint(tried.unionByName(verify(pairs, rows, threshold)))
-        labels = components(tried.filter("linked"))
+    tried = verify(pairs, rows)
+    labels = components(tried.filter(F.col("sim") >= threshold))
+
+    more = verify_rest(tried, labels, rows, threshold)
+    labels = components(tried.filter(F.col("sim") >= threshold).select("a", "b").unionByName(more))
 
     named = checkpoint(nodes.select("bag", "id").join(labels, "id", "left").select("bag", F.coalesce("comp", "id").alias("class_id")))
     out = signed.select("_id", "_th", "bag").join(named, "bag")
