@@ -14,6 +14,7 @@ from lectern.llm.common import read
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.near_dedup import near_classes
+from lectern.llm.oracle import oracle_sql  # noqa: F401
 from lectern.llm.pii import BASE_KINDS, find_pii, span_string
 from lectern.llm.quality import quality_rules
 from lectern.llm.token_counts import count_tokens
@@ -94,7 +95,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
