@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bit_gate, checkpoint, let, passes
+from lectern.llm.common import bit_gate, checkpoint, fresh, let, passes
 
 #: A line of this many words ends a chunk whatever its hash; shorter ones do where the
 #: rolling hash over the last two line hashes is divisible by DIVISOR.
@@ -125,20 +125,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty line; rows with the same id and text are treated alike; a null id is
     the earliest. ``removed`` names a column for the number of lines removed.
     """
-    # names that no column of docs may have
+    p = fresh(docs, "_ld_")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"_ld_id": F.col(id_col).cast("string"), "_ld_th": F.xxhash64(text)})
+    rows = docs.withColumns({f"{p}id": F.col(id_col).cast("string"), f"{p}th": F.xxhash64(text)})
     drops = checkpoint(repeated_lines(docs.select(F.col(id_col).alias("_id"), text.alias("_text"))))
-    drops = drops.select(F.col("_id").cast("string").alias("_ld_id2"), F.col("_th").alias("_ld_th2"), F.col("drop").alias("_ld_drop"))
+    drops = drops.select(F.col("_id").cast("string").alias(f"{p}id2"), F.col("_th").alias(f"{p}th2"), F.col("drop").alias(f"{p}drop"))
     # texts that lose nothing go past the join: the bitmap tells most of them
-    key = F.xxhash64("_ld_id", "_ld_th")
-    gate = F.broadcast(bit_gate(drops.select(F.xxhash64("_ld_id2", "_ld_th2").alias("_k")), "_k").withColumnRenamed("_gate", "_ld_gate"))
-    gated = rows.crossJoin(gate).withColumn("_ld_in", passes(F.col("_ld_gate"), key)).drop("_ld_gate")
-    joined = gated.filter("_ld_in").join(drops, F.col("_ld_id").eqNullSafe(F.col("_ld_id2")) & (F.col("_ld_th") == F.col("_ld_th2")), "left")
-    both = F.when(F.col("_ld_drop").isNotNull(), let(F.split(text, "\n", -1), lambda x: let(_without(x, F.col("_ld_drop"), min_words), lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(x) - F.size(k)).alias("gone")))))
-    gone = F.coalesce(F.col("_ld_new.gone"), F.lit(0))
-    changed = joined.withColumn("_ld_new", both).withColumn(text_col, F.when(gone > 0, F.col("_ld_new.text")).otherwise(F.col(text_col))).withColumn("_ld_gone", gone)
-    whole = gated.filter("not _ld_in").withColumn("_ld_gone", F.lit(0))
-    out = changed.drop("_ld_id2", "_ld_th2", "_ld_drop", "_ld_new").unionByName(whole)
-    out = out.withColumn(removed, F.col("_ld_gone")) if removed else out
-    return out.drop("_ld_id", "_ld_th", "_ld_in", "_ld_gone")
+    key = F.xxhash64(f"{p}id", f"{p}th")
+    gate = F.broadcast(bit_gate(drops.select(F.xxhash64(f"{p}id2", f"{p}th2").alias("_k")), "_k").withColumnRenamed("_gate", f"{p}gate"))
+    gated = rows.crossJoin(gate).withColumn(f"{p}in", passes(F.col(f"{p}gate"), key)).drop(f"{p}gate")
+    joined = gated.filter(f"{p}in").join(drops, F.col(f"{p}id").eqNullSafe(F.col(f"{p}id2")) & (F.col(f"{p}th") == F.col(f"{p}th2")), "left")
+    both = F.when(F.col(f"{p}drop").isNotNull(), let(F.split(text, "\n", -1), lambda x: let(_without(x, F.col(f"{p}drop"), min_words), lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(x) - F.size(k)).alias("gone")))))
+    gone = F.coalesce(F.col(f"{p}new.gone"), F.lit(0))
+    changed = joined.withColumn(f"{p}new", both).withColumn(text_col, F.when(gone > 0, F.col(f"{p}new.text")).otherwise(F.col(text_col))).withColumn(f"{p}gone", gone)
+    whole = gated.filter(f"not {p}in").withColumn(f"{p}gone", F.lit(0))
+    out = changed.drop(f"{p}id2", f"{p}th2", f"{p}drop", f"{p}new").unionByName(whole)
+    out = out.withColumn(removed, F.col(f"{p}gone")) if removed else out
+    return out.drop(f"{p}id", f"{p}th", f"{p}in", f"{p}gone")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.arrow import pieces
 from lectern.llm.bag_minhash import BANDS, bag_of, bags, band_keys, signatures, similarity, word_hashes
-from lectern.llm.common import bit_gate, checkpoint, passes
+from lectern.llm.common import bit_gate, checkpoint, fresh, passes
 
 SIMILARITY = 0.8
 #: Documents in one block of a comparison, about.
@@ -196,10 +196,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     lets the others past.
     """
     found = near_classes(docs, id_col, text_col, threshold)
+    p = fresh(docs, "_nd_")
     key = lambda a, b: F.xxhash64(a, b)
-    seen = found.groupBy(key(F.col(id_col), F.col("text_hash")).alias("_nd_key")).agg(F.max("kept").alias("_nd_kept"), F.count(F.lit(1)).alias("_nd_n"))
-    odd = checkpoint(seen.filter("not _nd_kept or _nd_n > 1"))
-    gate = F.broadcast(bit_gate(odd, "_nd_key").withColumnRenamed("_gate", "_nd_gate"))
-    gated = docs.withColumn("_nd_key", key(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).crossJoin(gate).withColumn("_nd_in", passes(F.col("_nd_gate"), F.col("_nd_key"))).drop("_nd_gate")
-    left = gated.filter("_nd_in").join(odd.filter("not _nd_kept").select("_nd_key"), "_nd_key", "left_anti").dropDuplicates(["_nd_key"])
-    return left.unionByName(gated.filter("not _nd_in")).drop("_nd_key", "_nd_in")
+    seen = found.groupBy(key(F.col(id_col), F.col("text_hash")).alias(f"{p}key")).agg(F.max("kept").alias(f"{p}kept"), F.count(F.lit(1)).alias(f"{p}n"))
+    odd = checkpoint(seen.filter(f"not {p}kept or {p}n > 1"))
+    gate = F.broadcast(bit_gate(odd, f"{p}key").withColumnRenamed("_gate", f"{p}gate"))
+    gated = docs.withColumn(f"{p}key", key(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).crossJoin(gate).withColumn(f"{p}in", passes(F.col(f"{p}gate"), F.col(f"{p}key"))).drop(f"{p}gate")
+    left = gated.filter(f"{p}in").join(odd.filter(f"not {p}kept").select(f"{p}key"), f"{p}key", "left_anti").dropDuplicates([f"{p}key"])
+    return left.unionByName(gated.filter(f"not {p}in")).drop(f"{p}key", f"{p}in")
