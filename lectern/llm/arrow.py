@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Characters of text in one piece, at least one row.
-PIECE_CHARS = 1 << 22
+PIECE_CHARS = 1 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_hash = Memory(lambda w: xxhash.xxh64_intdigest(w), 400_000).__getitem__
+_hash = Memory(lambda w: xxhash.xxh64_intdigest(w), 150_000).__getitem__
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lectern.llm.arrow import Memory, pieces
 
 #: Words and token pairs that a worker remembers at most; past that it starts anew.
-WORD_CACHE, PAIR_CACHE = 200_000, 1_000_000
+WORD_CACHE, PAIR_CACHE = 100_000, 250_000
 
 
 def byte_letters() -> list[str]:

@@ -37,7 +37,7 @@ class Lookup(Memory):
     """The known features of words; most have none."""
 
     def __init__(self, known: object):
-        super().__init__(lambda w: tuple(f for f in forms(w) if f in known), 200_000)
+        super().__init__(lambda w: tuple(f for f in forms(w) if f in known), 100_000)
 
     def of(self, found: list[str]) -> Counter:
         get = self.__getitem__

@@ -16,7 +16,7 @@ from lectern.llm.arrow import Memory, pieces
 SPACE = "▁"
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-CHUNK_CACHE = 200_000
+CHUNK_CACHE = 100_000
 
 
 class UnigramCounter:
