@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,14 @@ import pyarrow as pa
 PIECE_CHARS = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays between tasks, and other operators run beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """(rows, their texts with null as empty), cut so that long texts don't pile up."""
     for batch in batches:
@@ -24,6 +33,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
                 start, size, held = i + 1, 0, []
         if held:
             yield batch.slice(start), held
+    batch = texts = held = None
+    give_back()
 
 
 class Memory(dict):
