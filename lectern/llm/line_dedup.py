@@ -1,4 +1,4 @@
-"""Line dedup by content-defined line chunks: repeated multi-line chunks are removed after byte comparison."""
+"""Line dedup: passages of whole lines that occur earlier are removed, found by windows of lines that their own words delimit."""
 
 from __future__ import annotations
 
@@ -7,90 +7,95 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bit_gate, checkpoint, fresh, let, passes
 
-#: A line of this many words ends a chunk whatever its hash; shorter ones do where the
-#: rolling hash over the last two line hashes is divisible by DIVISOR.
-SOLO_WORDS, DIVISOR = 8, 4
 #: Repeated lines are removed in runs of at least so many words.
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
+#: So many following lines are tried first for a window's end, then ``min_words`` of them.
+NEAR = 8
 
 
-def chunks(text: Column) -> Column:
-    """array<struct<ord,first,n,lines,hash>>: the chunks of a text, in order.
+def windows(lines: Column, min_words: int = MIN_WORDS) -> Column:
+    """array<struct<a,b,back>>: the smallest windows of ``min_words`` words, as their first and last line.
 
-    Whether a line ends its chunk depends on that line and the one before it
-    alone, so texts that share a passage have the same boundaries within it,
-    wherever in the text it stands. ``first`` and ``n`` count lines.
+    One starts at each line that has words and goes forward; one ends there and
+    goes ``back``, unless that is a forward one too. Where a window lies depends
+    on its own lines alone, and every run of lines with so many words, from a
+    line with words to one, is the union of the windows within it: texts that
+    share a passage share all of its windows, whatever stands around it. Lines
+    without words start and end no window, so a line is in ``min_words`` windows
+    of a kind at most.
     """
+    counted = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(WORD)).alias("w"))), lambda x: x["w"] > 0)
 
-    def with_lines(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    def with_counts(u: Column) -> Column:
+        m = F.size(u)
 
-        def with_hashes(h: Column) -> Column:
-            last = F.size(lines) - 1
-            rolling = lambda i: F.pmod(F.xxhash64(F.coalesce(F.get(h, F.greatest(i - 1, F.lit(0))), F.lit(0)), h[i]), F.lit(DIVISOR)) == 0
-            ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.regexp_count(lines[i], F.lit(WORD)) >= SOLO_WORDS) | rolling(i))
+        def with_words(w: Column) -> Column:
+            # how many lines beyond the k-th a window needs: those after which it is still short
+            def more(w: Column, k: Column) -> Column:
+                add = lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + F.when(acc["s"] + x < min_words, 1).otherwise(0)).alias("n"))
+                short = lambda n: F.aggregate(F.slice(w, k + 1, F.lit(n)), F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")), add, lambda acc: acc["n"])
+                return let(short(NEAR), lambda n: F.when(n < NEAR, n).otherwise(short(min_words)))
 
-            def with_ends(e: Column) -> Column:
-                start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.coalesce(F.get(e, F.greatest(j - 1, F.lit(0))), F.lit(-1)) + 1)
+            each = F.sequence(F.lit(0), m - 1)
+            forward = F.transform(each, lambda k: F.struct(k.alias("a"), (k + more(w, k)).alias("b")))
+            backward = let(F.reverse(w), lambda r: F.transform(each, lambda k: F.struct((k - more(r, m - 1 - k)).alias("a"), k.alias("b"))))
+            fits = lambda x: F.filter(x, lambda v: (v["a"] >= 0) & (v["b"] < m))
 
-                def chunk(x: Column, j: Column) -> Column:
-                    part = F.slice(lines, start(j) + 1, x - start(j) + 1)
-                    return F.struct(j.alias("ord"), start(j).alias("first"), (x - start(j) + 1).alias("n"), part.alias("lines"), F.xxhash64(part).alias("hash"))
+            def tell(f: Column) -> Column:
+                end = lambda x: F.get(f, x["a"])["b"]
+                only = F.filter(fits(backward), lambda x: F.coalesce(end(x) != x["b"], F.lit(True)))
+                named = lambda v, back: F.transform(v, lambda x: F.struct(u[x["a"]]["i"].alias("a"), u[x["b"]]["i"].alias("b"), F.lit(back).alias("back")))
+                return F.concat(named(f, False), named(only, True))
 
-                return F.transform(e, chunk)
+            return let(fits(forward), tell)
 
-            return let(ends, with_ends)
+        total = F.aggregate(u["w"], F.lit(0), lambda acc, w: acc + w)
+        return F.when(total >= min_words, let(u["w"], with_words)).otherwise(F.array().cast("array<struct<a:int,b:int,back:boolean>>"))
 
-        return let(hashes, with_hashes)
+    return let(counted, with_counts)
 
-    return let(F.split(text, "\n", -1), with_lines)
 
+def _covered(spans: Column) -> Column:
+    """array<int>: the lines of windows of one kind, sorted; starts and ends of a kind rise together."""
+    fresh_part = lambda x, i: F.struct(F.when(i == 0, x["a"]).otherwise(F.greatest(x["a"], F.get(spans, F.greatest(i - 1, F.lit(0)))["b"] + 1)).alias("a"), x["b"].alias("b"))
+    parts = F.filter(F.transform(spans, fresh_part), lambda x: x["a"] <= x["b"])
+    return F.flatten(F.transform(parts, lambda x: F.sequence(x["a"], x["b"])))
 
-def _common_prefix(a: Column, b: Column) -> Column:
-    """How many leading elements two arrays share."""
-    n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | ~F.coalesce(F.get(a, i).eqNullSafe(F.get(b, i)), F.lit(False)))
-    return differ[0]
 
-
-def repeated_lines(docs: DataFrame, id_col: str = "_id", text_col: str = "_text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "_id", text_col: str = "_text", min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _th, drop: for each text with repeated passages, the line numbers to remove.
 
-    Chunks are counted by hash over all documents. Those that recur are fetched
-    with their neighbours - a bitmap of fixed size keeps the rest out of the
-    shuffle - and compared byte by byte with the chunk's first occurrence, which
-    stays; matches are carried on, line by line, into the neighbouring chunks as
-    far as those agree. A hot chunk's rows are pre-aggregated or split.
+    A line goes if a window that holds it occurs at an earlier place. Windows are
+    counted by a hash of their lines' hashes; a bitmap of fixed size keeps most of
+    those that occur once out of the second step, which is exact for whatever
+    else it lets through: windows are the same if the SHA-256 of their bytes is.
+    No text is shuffled. A hot window's rows are pre-aggregated or split.
     """
     keyed = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_th"))
-    exploded = keyed.select(id_col, "_th", F.posexplode(F.transform(chunks(F.col(text_col)), lambda c: c["hash"])).alias("_ord", "_hash"))
-    place = F.struct(F.col(id_col).alias("id"), F.col("_th").alias("th"), F.col("_ord").alias("ord"))
-    known = checkpoint(exploded.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_at")).filter("_n > 1"))
-
-    gate = F.broadcast(bit_gate(known, "_hash"))
-    empty = F.array().cast("array<string>")
-
-    def picked(c: Column, gate_col: Column) -> Column:
-        # a neighbour that recurs is matched itself; only where a run of such chunks ends are its lines needed
-        def near(j: Column) -> Column:
-            return let(F.get(c, F.when(j >= 0, j)), lambda x: F.when(x.isNull() | passes(gate_col, x["hash"]), empty).otherwise(x["lines"]))
-
-        rows = F.transform(c, lambda x, j: F.struct(x["ord"].alias("ord"), x["first"].alias("first"), x["n"].alias("n"), x["hash"].alias("hash"), x["lines"].alias("lines"), near(j - 1).alias("prev"), near(j + 1).alias("next")))
-        return F.filter(rows, lambda x: passes(gate_col, x["hash"]))
-
-    found = keyed.crossJoin(gate).select(id_col, "_th", F.explode(let(chunks(F.col(text_col)), lambda c: picked(c, F.col("_gate")))).alias("c"))
-    found = found.select(id_col, "_th", F.col("c.hash").alias("_hash"), "c.ord", "c.first", "c.n", "c.lines", "c.prev", "c.next")
-    same = lambda: F.struct(F.col(id_col).alias("id"), F.col("_th").alias("th"), F.col("ord").alias("ord"))
-    rows = checkpoint(found.join(known, "_hash").withColumn("_own", same().eqNullSafe(F.col("_at"))).drop("_at", "_n"))
+    hash_of = lambda h, x: F.xxhash64(F.slice(h, x["a"] + 1, x["b"] - x["a"] + 1))
+    hashes = lambda lines: F.transform(lines, lambda x: F.xxhash64(x))
+    every = let(F.split(text_col, "\n", -1), lambda lines: let(hashes(lines), lambda h: F.transform(windows(lines, min_words), lambda x: hash_of(h, x))))
+    known = keyed.select(F.explode(every).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    gate = F.broadcast(checkpoint(bit_gate(known, "_hash")))
+
+    def with_text(lines: Column, h: Column) -> Column:
+        text = lambda x: F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1), "\n")
+        return F.transform(windows(lines, min_words), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["back"].alias("back"), hash_of(h, x).alias("hash"), text(x).alias("text")))
+
+    # the bitmap meets plain columns only: a lambda would have it copied for every row
+    found = keyed.select(id_col, "_th", F.explode(let(F.split(text_col, "\n", -1), lambda lines: let(hashes(lines), lambda h: with_text(lines, h)))).alias("w")).select(id_col, "_th", "w.*")
+    found = found.crossJoin(gate).filter(passes(F.col("_gate"), F.col("hash")))
+    rows = checkpoint(found.select(id_col, "_th", "a", "b", "back", F.unhex(F.sha2("text", 256)).alias("_digest")))
+    place = lambda: F.struct(F.col(id_col).alias("id"), F.col("_th").alias("th"), F.col("a").alias("a"))
     # rows that share id and text are one document, whose first occurrence is one
-    firsts = rows.filter("_own").select("_hash", F.col("lines").alias("l0"), F.col("prev").alias("p0"), F.col("next").alias("n0")).dropDuplicates(["_hash"])
+    firsts = rows.groupBy("_digest").agg(F.min(place()).alias("_at"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     firsts = checkpoint(firsts)  # a join of two plain shuffles, whose hot partitions can be split
-    later = rows.filter("not _own").select(id_col, "_th", "_hash", "first", "n", "lines", "prev", "next").join(firsts, "_hash").filter("lines = l0")
-    before = _common_prefix(F.reverse("prev"), F.reverse("p0"))
-    after = _common_prefix(F.col("next"), F.col("n0"))
-    lines = later.select(id_col, "_th", F.explode(F.sequence(F.col("first") - before, F.col("first") + F.col("n") - 1 + after)).alias("_line")).distinct()
-    return lines.groupBy(id_col, "_th").agg(F.array_sort(F.collect_list("_line")).alias("drop"))
+    later = rows.join(firsts, "_digest").filter(~place().eqNullSafe(F.col("_at")))
+    span = F.struct("a", "b")
+    of_kind = lambda back: F.array_sort(F.collect_set(F.when(F.col("back") == back, span)))
+    both = later.groupBy(id_col, "_th").agg(of_kind(F.lit(False)).alias("_f"), of_kind(F.lit(True)).alias("_b"))
+    return both.select(id_col, "_th", F.array_sort(F.array_union(_covered(F.col("_f")), _covered(F.col("_b")))).alias("drop"))
 
 
 def _without(lines: Column, drop: Column, min_words: int) -> Column:
@@ -119,7 +124,7 @@ def _without(lines: Column, drop: Column, min_words: int) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """``docs`` without passages of ``min_words`` words or more that occur earlier in the table.
 
-    Earlier is by id, text hash and place. All rows and columns stay; of a text
+    A passage is a run of lines whose first and last have words. Earlier is by id, text hash and place. All rows and columns stay; of a text
     only whole lines go, and a text that keeps all its lines stays as it is, byte
     for byte. Texts may become empty. Null text stays null; empty text has one
     empty line; rows with the same id and text are treated alike; a null id is
@@ -128,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     p = fresh(docs, "_ld_")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({f"{p}id": F.col(id_col).cast("string"), f"{p}th": F.xxhash64(text)})
-    drops = checkpoint(repeated_lines(docs.select(F.col(id_col).alias("_id"), text.alias("_text"))))
+    drops = checkpoint(repeated_lines(docs.select(F.col(id_col).alias("_id"), text.alias("_text")), min_words=min_words))
     drops = drops.select(F.col("_id").cast("string").alias(f"{p}id2"), F.col("_th").alias(f"{p}th2"), F.col("drop").alias(f"{p}drop"))
     # texts that lose nothing go past the join: the bitmap tells most of them
     key = F.xxhash64(f"{p}id", f"{p}th")

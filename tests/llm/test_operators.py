@@ -199,6 +199,40 @@ def test_line_dedup_removes_repeated_passages_and_nothing_else(spark, odd, none)
     assert dedup_lines(none).columns == none.columns and dedup_lines(none).count() == 0
 
 
+def repeats_removed(texts, least=50):
+    """Brute force: every run of lines of ``least`` words or more is looked up at all earlier places."""
+    runs = []
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if n[a] and n[b] and sum(n[a : b + 1]) >= least:
+                    runs.append((i, a, b, tuple(lines[a : b + 1])))
+    first = {}
+    for i, a, _, run in runs:
+        first[run] = min(first.get(run, (i, a)), (i, a))
+    gone = {(i, k) for i, a, b, run in runs if first[run] < (i, a) for k in range(a, b + 1)}
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
+
+
+def test_line_dedup_equals_brute_force_on_short_lines(spark):
+    rng = random.Random(21)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    shapes = [[60], [7] * 8, [6] * 10, [12, 4] * 4, [4, 60, 4], [1] * 55, [7] * 6, [49], [25, 0, 25], [3, 0, 0] * 20]
+    texts = []
+    for shape in shapes:
+        shared = [line(n) for n in shape]
+        for _ in range(3):
+            around = lambda: [line(rng.choice([0, 2, 4, 12])) for _ in range(rng.randint(0, 5))]
+            cut = shared[rng.choice([0, 0, 1]) :]
+            texts.append("\n".join([*around(), *cut, *around(), *(shared if rng.random() < 0.3 else [])]))
+    texts += ["\n".join(["again and"] * 90), "\n".join(["again and"] * 40)]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    want = repeats_removed(texts)
+    assert sum(want[i] != t for i, t in enumerate(texts)) > 15 and got == want
+
+
 def test_bag_minhash_is_unbiased():
     import numpy as np
 
