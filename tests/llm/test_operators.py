@@ -233,6 +233,22 @@ def test_line_dedup_equals_brute_force_on_short_lines(spark):
     assert sum(want[i] != t for i, t in enumerate(texts)) > 15 and got == want
 
 
+def test_line_dedup_does_not_depend_on_what_else_recurs(spark, monkeypatch):
+    rng = random.Random(22)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    shared = [line(5), line(20), line(20), line(5), line(6)]
+    own = [line(4), line(4)]
+    first = "\n".join([line(9), *shared, line(9), *(line(9) for _ in range(5))])
+    texts = [first, first, "\n".join([own[0], *shared, own[1]]), *("\n".join([line(60), line(7), line(50)]) for _ in range(20))]
+    rows = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    want = repeats_removed(texts)
+    assert want[2] == "\n".join(own) and want[1] == ""
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(rows).collect()} == want
+    # a bitmap that is full lets everything through, and the result is the same
+    monkeypatch.setattr("lectern.llm.line_dedup.passes", lambda gate, key: F.lit(True))
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(rows).collect()} == want
+
+
 def test_bag_minhash_is_unbiased():
     import numpy as np
 
