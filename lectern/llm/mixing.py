@@ -75,29 +75,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Domai
     return DomainModel(sample(docs, labels, domain_class(), rows=rows), prior)
 
 
-def _rate(p: list[Column], past: list[list[float]], step: float, anchor: str) -> Column:
-    """The rate after the steps taken so far, from a document's posteriors: each step goes down the gradient and back to nonnegative.
+def _rate(p: list[Column], past: list[list[float]], step: float, anchor: str, most: int | None = None) -> Column:
+    """The rate after the steps taken so far, from a document's posteriors: each step goes down the gradient and back to nonnegative, and to ``most`` at most.
 
-    Documents that are most likely of the anchor domain go back to 1 at least, so none of them is thinned out.
+    Documents that are most likely of the anchor domain go back to 1: they are taken whole, once.
     """
-    least = F.when(p[DOMAINS.index(anchor)] >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    whole = p[DOMAINS.index(anchor)] >= 0.5
+    bound = lambda rate: F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
     if not past:
         return F.lit(1.0)
     steps = F.array(*(F.array(*map(F.lit, r)) for r in past))
 
     def one(rate: Column, r: Column) -> Column:
         pull = sum((p[k] * r[k] for k in range(1, len(p))), p[0] * r[0])
-        return F.greatest(least, rate - step * (pull + RIDGE * (rate - 1)))
+        return bound(rate - step * (pull + RIDGE * (rate - 1)))
 
-    return F.aggregate(steps, F.lit(1.0), one)
+    return F.when(whole, F.lit(1.0)).otherwise(F.aggregate(steps, F.lit(1.0), one))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR) -> tuple[list[list[float]], float]:
+def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: int | None = None) -> tuple[list[list[float]], float]:
     """(residuals of each step, step size): all that ``_rate`` needs.
 
     Minimises the squared relative errors of the expected domain token totals
     plus ``RIDGE`` times the tokens' mean squared distance of rates from 1, over
-    nonnegative rates (of 1 at least for documents most likely of the anchor domain). The gradient for a document depends on its posteriors
+    nonnegative rates (1 for documents most likely of the anchor domain, ``most`` at most for all). The gradient for a document depends on its posteriors
     alone, so documents with equal ones share a rate and are summed once, in one
     pass; each step is then one distributed sum over those cells, of which there
     are as many as posteriors of ``DECIMALS`` decimals allow. The driver
@@ -118,7 +119,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, anchor: st
     past: list[list[float]] = []
     for _ in range(STEPS):
         past.append([(n - w) * v for n, w, v in zip(now, want, weight, strict=True)])
-        got = cells.agg(*sums(_rate(p, past, step, anchor))).first()
+        got = cells.agg(*sums(_rate(p, past, step, anchor, most))).first()
         new = [got[f"s{k}"] / first["t"] for k in range(len(DOMAINS))]
         done = max(abs(a - b) for a, b in zip(now, new, strict=True)) < TOLERANCE
         now = new
@@ -127,13 +128,14 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, anchor: st
     return past, step
 
 
-def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, max_copies: int = 1, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, max_copies: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, posteriors ``p_good`` ..., ``rate``, ``copies``.
 
     The targets are shares of tokens (words of whole texts); the anchor domain is
-    taken whole and sets the total; documents most likely of it have a rate of 1 or more. A rate becomes a number of copies by a hash
-    of the id: its whole part, and one more with the probability of its fraction,
-    up to ``max_copies``. Null text counts as empty; such documents have no tokens, a
+    taken whole and sets the total; documents most likely of it have a rate of 1. A rate becomes a number of copies by a hash
+    of the id: its whole part, and one more with the probability of its fraction.
+    ``max_copies`` bounds the rates while they are solved for, so that the others make up for it as far as they can; targets
+    that need more are then missed. Null text counts as empty; such documents have no tokens, a
     rate as their posteriors say, and weigh nothing. Repeated rows get the same
     answer; a null id hashes like any other; an empty table gives an empty
     result; further columns of ``docs`` are left out, or with ``carry`` kept, the
@@ -144,8 +146,8 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS
     names = [f"p_{d}" for d in DOMAINS]
     scored = apply(docs, id_col, text_col, names, model.score)
     scored = scored if carry else checkpoint(scored)
-    past, step = fit_rates(scored, targets, anchor)
+    past, step = fit_rates(scored, targets, anchor, max_copies)
     scored = apply(docs, id_col, text_col, names, model.score, carry=True) if carry else scored
-    rate = F.round(_rate([F.col(n) for n in names], past, step, anchor), 6)
+    rate = F.round(_rate([F.col(n) for n in names], past, step, anchor, max_copies), 6)
     chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn("rate", rate).withColumn("copies", F.least(F.floor(F.col("rate") + chance), F.lit(max_copies)).cast("int"))
+    return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))

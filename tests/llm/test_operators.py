@@ -345,6 +345,17 @@ def test_mixing_meets_targets_and_keeps_the_anchor(spark, odd, none):
     assert mixing.mix(docs, mixing.fit(docs, labels.limit(0))).select("rate").distinct().count() == 1
 
 
+def test_mixing_meets_targets_by_copies(spark):
+    docs, labels = labelled(spark)
+    model, want = mixing.fit(docs, labels), {"good": 0.5, "poor": 0.4, "toxic": 0.1}
+    rows = mixing.mix(docs, model, targets=want).toPandas()
+    totals = [(rows.n_words * rows[f"p_{d}"] * rows.copies).sum() for d in mixing.DOMAINS]
+    assert all(abs(t / sum(totals) - w) < 0.03 for t, w in zip(totals, want.values(), strict=True)), totals
+    assert rows.copies.max() > 1 and (rows[rows.p_good >= 0.5].copies == 1).all()
+    single = mixing.mix(docs, model, targets=want, max_copies=1).toPandas()
+    assert single.rate.max() <= 1 and set(single.copies) <= {0, 1}
+
+
 def test_sample_is_bounded(spark):
     docs, labels = labelled(spark)
     got = sparse_text.sample(docs, labels, F.col("toxic"), rows=10)
