@@ -16,6 +16,8 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DAMPING, ITERATIONS = 0.85, 10
+#: Verdicts go on from there until a step moves no more than this share of either kind's mass and reaches no further host.
+TOLERANCE = 1e-6
 #: Weight of the edge between a host and its parent domain, against 1 for a link.
 PARENT_WEIGHT = 1.0
 #: A host is blocked if more than this share of its score is distrust.
@@ -64,9 +66,14 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
     return pairs.select(both.alias("e")).select("e.*", F.lit(PARENT_WEIGHT).alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = None) -> DataFrame:
     """kind, host, score: personalised PageRank of each kind from its own seeds.
 
+    ``score`` is that after ``iterations`` steps. With ``tolerance`` a column
+    ``settled`` is added, the score after as many more steps as it takes until one
+    changes the scores of either kind by no more than that in all and reaches no host
+    for the first time; hosts that only those steps reach have a score of 0.
+
     ``edges``: src, dst, w; ``seeds``: kind (``trust`` or ``distrust``), host, mass.
     Trust follows edges from the trusted seeds; distrust follows them backwards
     from the blocked ones, to whoever links there. Both kinds share one join and
@@ -80,14 +87,30 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     normal = checkpoint(merged.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("t")).alias("w")))
     mass = seeds.groupBy("kind").agg(F.sum("mass").alias("t"))
     start = checkpoint(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(F.broadcast(mass), "kind").filter("t > 0").select("kind", "host", (F.col("mass") / F.col("t")).alias("score")))
-    score = start
-    for i in range(iterations):
+
+    def step(score: DataFrame) -> DataFrame:
         moved = normal.join(score.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("w") * F.col("score") * damping).alias("score"))
         back = start.withColumn("score", F.col("score") * (1 - damping))
-        score = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        return moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+
+    score = start
+    for i in range(iterations):
+        score = step(score)
         if i % 3 == 2 or i == iterations - 1:
             score = checkpoint(score)
-    return score
+    if tolerance is None:
+        return score
+    settled = score
+    while True:
+        # the change over the last of a few steps, and hosts that it reached; what a step changes shrinks by the damping at least
+        before = step(step(settled))
+        last = checkpoint(step(before).join(before.withColumnRenamed("score", "_was"), ["kind", "host"], "left"))
+        change = last.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.coalesce("_was", F.lit(0.0)))).alias("d"), F.count(F.when(F.col("_was").isNull() & (F.col("score") > 0), 1)).alias("n")).collect()
+        settled = last.drop("_was")
+        if all(r["d"] <= tolerance and not r["n"] for r in change):
+            break
+    both = settled.withColumnRenamed("score", "settled").join(score, ["kind", "host"], "left")
+    return both.select("kind", "host", F.coalesce("score", F.lit(0.0)).alias("score"), "settled")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES) -> DataFrame:
@@ -97,11 +120,13 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     blocked are the seeds: a host's seed mass is its number of pages under each
     verdict. Edges are links between hosts and the steps between a host and its
     parent domain. Every other page gets its host's verdict: block if distrust is
-    over ``BLOCK_SHARE`` of the host's score (9 decimals), else allow, which includes hosts
+    over ``BLOCK_SHARE`` of the host's settled score, unrounded, else allow, which includes hosts
     that nothing reaches, and pages without a host. Null urls have empty host and
     path; null or empty html has no links; repeated rows are judged each; an empty
     table gives an empty result; further columns of ``pages`` are ignored.
 
+    ``trust`` and ``distrust`` are the scores after ``ITERATIONS`` steps, to 9 decimals.
+
     Only hosts and host pairs are shuffled, after pre-aggregation; the join of the
     verdicts to the pages carries no html, and a hot host's pages can be split.
     """
@@ -114,10 +139,12 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = F.when(F.col("_ruled") == "allow", "trust").when(F.col("_ruled") == "block", "distrust")
     seeds = of_hosts.filter("_ruled is not null and host <> ''").select(kind.alias("kind"), "host", "mass")
     hosts = of_hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).filter("host <> ''").distinct()
-    scores = propagate(links.unionByName(parent_edges(hosts)), seeds)
+    scores = propagate(links.unionByName(parent_edges(hosts)), seeds, tolerance=TOLERANCE)
 
     of_kind = lambda k: F.coalesce(F.round(F.sum(F.when(F.col("kind") == k, F.col("score"))), 9), F.lit(0.0)).alias(k)
-    by_host = checkpoint(scores.groupBy("host").agg(of_kind("trust"), of_kind("distrust")))
+    settled = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("settled"))), F.lit(0.0))
+    bad = (settled("distrust") > BLOCK_SHARE * (settled("trust") + settled("distrust"))).alias("_bad")
+    by_host = checkpoint(scores.groupBy("host").agg(of_kind("trust"), of_kind("distrust"), bad))
     joined = judged.join(by_host, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    own = F.when(F.col("distrust") > BLOCK_SHARE * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
+    own = F.when(F.col("_bad"), "block").otherwise("allow")
     return joined.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_ruled", own).alias("verdict"), "trust", "distrust")

@@ -139,6 +139,19 @@ def test_propagation_is_page_rank(spark):
     assert {r["host"]: round(r["score"], 9) for r in got.collect()} == {h: round(s, 9) for h, s in score.items()}
 
 
+def test_url_verdicts_hold_for_small_scores_and_long_ways(spark):
+    # h24 links to h23 and so on to h0, which links to the blocked host; each has its own last label, so no parent joins them
+    rows = [("http://example.com/en/x", "")] + [(f"http://h.t{i}/de", f'<a href="http://h.t{i - 1}/">' if i else '<a href="http://example.com/">') for i in range(25)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in filter_urls(pages).collect()}
+    assert got[25]["distrust"] == 0 and {got[i]["verdict"] for i in range(26)} == {"block"}
+    # a thousand hosts link to one of very many blocked pages' hosts: scores under 5e-10
+    edges = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, w double")
+    seeds = spark.createDataFrame([("distrust", "b", 1.0), ("distrust", "c", 1e10)], "kind string, host string, mass double")
+    small = {r["host"]: r["settled"] for r in propagate(edges, seeds, tolerance=1e-6).collect()}
+    assert 0 < small["a"] < 5e-10
+
+
 FUZZ = "abcdeEéÉßΣσİıñ'’ \t\n\r\x0b\x1c\x85\u00a0\u2003\u3000日本語한각\u0301١²Ⅷ😀👍🏽<|>#$%._-0123456789ǅﬁ"
 
 
