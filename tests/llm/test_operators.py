@@ -95,6 +95,13 @@ def test_pii_method_adds_what_checks_and_context_confirm(spark, odd, none):
     assert find_pii(odd).count() == len(ROWS) and find_pii(none).count() == 0
 
 
+def test_pii_iban_whatever_follows(spark):
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = [f"IBAN {gb} BIC NWBKGB2L", f"IBAN {gb} I paid", f"IBAN {de} BIC COBADEFFXXX", f"IBAN {de} {gb} NO9386011117947", f"IBAN {de}X", f"IBAN {gb[:-1]}3 BIC NWBKGB2L"]
+    got = {r["doc_id"]: [s["value"] for s in r["pii"] if s["kind"] == "iban"] for r in find_pii(frame(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: [gb], 1: [gb], 2: [de], 3: [de, gb, "NO9386011117947"], 4: [], 5: []}
+
+
 def quality_model(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
