@@ -60,9 +60,12 @@ def _fill(signature: np.ndarray, row: np.ndarray, shingle: np.ndarray, weight: n
     """Put the points of all processes up to each document's time limit into its registers.
 
     A shingle has one Poisson process on each interval of the weight axis, [0, 1),
-    [1, 2), [2, 4), [4, 8) and so on, at a rate of the interval's length. A point
+    [1, 2), [2, 4), [4, 8) and so on, at a rate of the interval's length. Each bit of a point's
+    place says into which half of what is left of its interval it falls, as if its process
+    were split there into two of half the rate, level by level. A point
     counts if its place on the axis is under the shingle's weight, so a document
     sees of a shingle just the points that any document with at least that weight sees.
+    A process stops once its next point is later than the largest register of its document.
     """
     registers = np.uint64(signature.shape[1])
     flat = signature.reshape(-1)
@@ -79,6 +82,8 @@ def _fill(signature: np.ndarray, row: np.ndarray, shingle: np.ndarray, weight: n
             step += 1
             u = mix(seed + np.uint64(step * int(_GOLD) & _WRAP))
             time = time - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / (high - low)
+            if step > 1:
+                limit = np.minimum(limit, signature.max(axis=1)[r])
             go = np.flatnonzero(time < limit)
             if not len(go):
                 break
