@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from lectern.llm.common import checkpoint
 from lectern.llm.sparse_text import ROWS_PER_CLASS, Lookup, apply, choose, counted, fit_softmax, sample, style, words
 
-#: Domains, in the order of the classes below, and the share of tokens that each is to have.
+#: Domains, in the order of the classes below, and the share of tokens that each is to have. By soft membership every
+#: document counts a little for each domain, so no mix can have less of a domain than the smallest posterior says.
 DOMAINS = ("good", "poor", "toxic")
-TARGETS = {"good": 0.89, "poor": 0.1, "toxic": 0.01}
-#: The domain that is taken whole: it sets the size of the mix.
-ANCHOR = "good"
+TARGETS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
 #: Posteriors are given to this many decimals, so documents with equal ones can be solved for together.
 DECIMALS = 3
-RIDGE, STEPS, TOLERANCE = 0.01, 60, 1e-4
-#: A target under this share has its error weighted as if it were this share.
-LEAST_TARGET = 0.1
+#: Steps at most, the relative error of a domain's total that is good enough, and the relative change below which bounds hold the rates.
+STEPS, TOLERANCE, STALLED = 60, 1e-3, 1e-4
+#: Values that a document's chance takes.
+CHANCES = 1024
 
 
 class DomainModel:
@@ -75,69 +75,104 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Domai
     return DomainModel(sample(docs, labels, domain_class(), rows=rows), prior)
 
 
-def _rate(p: list[Column], past: list[list[float]], step: float, anchor: str, most: int | None = None) -> Column:
+def _rate(past: list[list[float]], step: float, whole: str | None, most: float | None) -> Column:
     """The rate after the steps taken so far, from a document's posteriors: each step goes down the gradient and back to nonnegative, and to ``most`` at most.
 
-    Documents that are most likely of the anchor domain go back to 1: they are taken whole, once.
+    Documents most likely of the domain ``whole`` stay at 1.
     """
-    whole = p[DOMAINS.index(anchor)] >= 0.5
+    p = [F.col(f"p_{d}") for d in DOMAINS]
     bound = lambda rate: F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
-    if not past:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*map(F.lit, r)) for r in past))
-
-    def one(rate: Column, r: Column) -> Column:
-        pull = sum((p[k] * r[k] for k in range(1, len(p))), p[0] * r[0])
-        return bound(rate - step * (pull + RIDGE * (rate - 1)))
-
-    return F.when(whole, F.lit(1.0)).otherwise(F.aggregate(steps, F.lit(1.0), one))
-
-
-def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: int | None = None) -> tuple[list[list[float]], float]:
-    """(residuals of each step, step size): all that ``_rate`` needs.
-
-    Minimises the squared relative errors of the expected domain token totals
-    plus ``RIDGE`` times the tokens' mean squared distance of rates from 1, over
-    nonnegative rates (1 for documents most likely of the anchor domain, ``most`` at most for all). The gradient for a document depends on its posteriors
-    alone, so documents with equal ones share a rate and are summed once, in one
-    pass; each step is then one distributed sum over those cells, of which there
-    are as many as posteriors of ``DECIMALS`` decimals allow. The driver
-    gets one number for each domain and step.
+    rate = F.lit(1.0)
+    if past:
+        pull = lambda r: sum((p[k] * r[k] for k in range(1, len(p))), p[0] * r[0])
+        rate = F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in past)), rate, lambda acc, r: bound(acc - step * pull(r)))
+    return F.round(rate if whole is None else F.when(p[DOMAINS.index(whole)] >= 0.5, F.lit(1.0)).otherwise(rate), 6)
+
+
+def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str | None = None, most: float | None = None) -> tuple[list[list[float]], float]:
+    """(weighted residuals of each step, step size): all that ``_rate`` needs.
+
+    Least squares of the domains' expected token totals against their targets, over nonnegative
+    rates (``most`` at most), by projected gradient from all rates 1, with distances
+    of rates weighted by tokens. The gradient for a document depends on its posteriors
+    alone, so documents with equal ones share a rate: ``cells`` (posteriors, ``_t`` tokens) has
+    as many rows as posteriors of ``DECIMALS`` decimals allow, and each step is one distributed
+    sum over them. The driver gets one number for each domain and step. A domain's error is weighted by
+    one over its curvature, or its target if that is larger; where all targets can be met, the weights don't matter.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    cells = checkpoint(scored.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("n_words").cast("double").alias("_t")))
-    sums = lambda rate: [F.sum(F.col("_t") * p[k] * rate).alias(f"s{k}") for k in range(len(DOMAINS))]
-    first = cells.agg(F.sum("_t").alias("t"), *sums(F.lit(1.0))).first()
+    n = range(len(DOMAINS))
+    share = lambda x: F.sum(F.col("_t") * x)
+    first = cells.agg(F.sum("_t").alias("t"), *(share(p[k]).alias(f"s{k}") for k in n), *(share(p[k] * p[j]).alias(f"m{k}{j}") for k in n for j in n)).first()
     if not first["t"]:
         return [], 0.0
-    now = [first[f"s{k}"] / first["t"] for k in range(len(DOMAINS))]
-    of_anchor = DOMAINS.index(anchor)
-    scale = now[of_anchor] / targets[anchor] if now[of_anchor] > 0 else 1.0
-    want = [targets[d] * scale for d in DOMAINS]
-    weight = [1 / max(w, LEAST_TARGET) for w in want]
-    step = 1 / (max(n * w for n, w in zip(now, weight, strict=True)) + RIDGE)
+    now = np.array([first[f"s{k}"] for k in n]) / first["t"]
+    # as many tokens as there are, or as many as make the domain that is whole its share
+    size = 1.0 if whole is None or now[DOMAINS.index(whole)] <= 0 else now[DOMAINS.index(whole)] / targets[whole]
+    want = np.array([targets[d] for d in DOMAINS]) * size
+    curve = np.array([[first[f"m{k}{j}"] for j in n] for k in n]) / first["t"]
+    weight = 1 / np.maximum(np.maximum(np.diag(curve), want), 1e-9)
+    step = float(1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * curve * np.sqrt(weight)).max())
     past: list[list[float]] = []
-    for _ in range(STEPS):
-        past.append([(n - w) * v for n, w, v in zip(now, want, weight, strict=True)])
-        got = cells.agg(*sums(_rate(p, past, step, anchor, most))).first()
-        new = [got[f"s{k}"] / first["t"] for k in range(len(DOMAINS))]
-        done = max(abs(a - b) for a, b in zip(now, new, strict=True)) < TOLERANCE
+    while len(past) < STEPS and (np.abs(now - want) > TOLERANCE * want).any():
+        past.append([float(x) for x in (now - want) * weight])
+        got = cells.agg(*(share(p[k] * _rate(past, step, whole, most)).alias(f"s{k}") for k in n)).first()
+        new = np.array([got[f"s{k}"] for k in n]) / first["t"]
+        stalled = (np.abs(new - now) <= STALLED * np.maximum(want, 1e-9)).all()
         now = new
-        if done:
+        if stalled:
             break
     return past, step
 
 
-def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, max_copies: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def _chance(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(CHANCES)).cast("int")
+
+
+def _likeliest() -> Column:
+    """Number of the domain with the largest posterior, the first one at ties."""
+    return F.array_position(F.array(*(F.col(f"p_{d}") for d in DOMAINS)), F.greatest(*(F.col(f"p_{d}") for d in DOMAINS))).cast("int") - 1
+
+
+def _due(rate: Column, chance: Column) -> Column:
+    """Steps of chance by which a document must be helped to get one copy more than its rate's whole part; null for whole rates."""
+    part = rate - F.floor(rate)
+    return F.when(part > 1e-9, F.floor((1 - part) * CHANCES - chance - 0.5).cast("int"))
+
+
+def fit_shifts(fine: DataFrame, rate: Column) -> list[int]:
+    """For each domain, the help that documents most likely of it get when rates become copies, so that their copies' tokens come to what their rates say.
+
+    ``fine``: posteriors, ``_chance``, ``_t``. The driver gets at most ``2 * CHANCES`` sums a domain.
+    """
+    part = rate - F.floor(rate)
+    sums = fine.withColumns({"_k": _likeliest(), "_due": _due(rate, F.col("_chance")), "_e": F.col("_t") * part}).filter("_due is not null").groupBy("_k", "_due").agg(F.sum("_t").alias("t"), F.sum("_e").alias("e")).collect()
+    shifts = []
+    for k in range(len(DOMAINS)):
+        own = sorted((r["_due"], r["t"], r["e"]) for r in sums if r["_k"] == k)
+        left = sum(e for _, _, e in own)
+        # documents due before the shift get their copy: add them while that brings the total nearer
+        shift = own[0][0] if own else 0
+        for due, t, _ in own:
+            if abs(left - t) >= abs(left):
+                break
+            left, shift = left - t, due + 1
+        shifts.append(shift)
+    return shifts
+
+
+def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS, whole: str | None = None, max_copies: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, posteriors ``p_good`` ..., ``rate``, ``copies``.
 
-    The targets are shares of tokens (words of whole texts); the anchor domain is
-    taken whole and sets the total; documents most likely of it have a rate of 1. A rate becomes a number of copies by a hash
-    of the id: its whole part, and one more with the probability of its fraction.
+    The targets are shares of tokens (words of whole texts) in a mix of as many
+    tokens as ``docs`` has. ``whole`` names a domain that is taken whole instead: its likeliest documents have a rate of 1, and the
+    mix is as large as makes that its share. A rate becomes a number of copies: its whole part, and one more with the
+    probability of its fraction, by a hash of the id; one shift for each domain then makes up for chance, so that the copies' tokens come to what
+    the rates say, as near as single documents allow.
     ``max_copies`` bounds the rates while they are solved for, so that the others make up for it as far as they can; targets
     that need more are then missed. Null text counts as empty; such documents have no tokens, a
     rate as their posteriors say, and weigh nothing. Repeated rows get the same
-    answer; a null id hashes like any other; an empty table gives an empty
+    answer; a null id hashes like any other; of domains equally likely for a document the first one counts; an empty table gives an empty
     result; further columns of ``docs`` are left out, or with ``carry`` kept, the
     new ones replacing those of the same name (texts are then scored twice
     rather than shuffled). Without labels all domains
@@ -146,8 +181,10 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS
     names = [f"p_{d}" for d in DOMAINS]
     scored = apply(docs, id_col, text_col, names, model.score)
     scored = scored if carry else checkpoint(scored)
-    past, step = fit_rates(scored, targets, anchor, max_copies)
+    fine = checkpoint(scored.groupBy(*names, _chance(id_col).alias("_chance")).agg(F.sum("n_words").cast("double").alias("_t")))
+    past, step = fit_rates(checkpoint(fine.groupBy(*names).agg(F.sum("_t").alias("_t"))), targets, whole, max_copies)
+    rate = _rate(past, step, whole, max_copies)
+    shifts = F.array(*map(F.lit, fit_shifts(fine, rate)))
     scored = apply(docs, id_col, text_col, names, model.score, carry=True) if carry else scored
-    rate = F.round(_rate([F.col(n) for n in names], past, step, anchor, max_copies), 6)
-    chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    more = F.coalesce(_due(F.col("rate"), _chance(id_col)) < F.get(shifts, _likeliest()), F.lit(False))
+    return scored.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + more.cast("int")).cast("int"))

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lectern.llm.arrow import Memory, pieces
+from lectern.llm.bag_minhash import bags, signatures, word_hashes
+from lectern.llm.common import checkpoint
 
 #: Labelled rows of each class that a fit reads at most, and the characters that such a row may have.
 ROWS_PER_CLASS, ROW_CHARS = 3000, 20_000
 #: Features of a model at most, and documents of the sample that must hold one.
 FEATURES, MIN_DOCS, LEAST_ODDS = 2000, 3, 1.5
-#: Log odds times the root of the documents that a feature needs: below, it may be chance.
-LEAST_SCORE = 9.0
+#: Probability, at most, that a feature is in so many documents of a class by chance.
+SIGNIFICANCE = 1e-4
+#: One over the variance of an ordinal model's weights before it has seen any row.
+PRIOR = 0.1
+#: Registers of the signatures that tell near copies in the sample, and registers in a band of them.
+COPY_REGISTERS, COPY_ROWS = 40, 5
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SYMBOLS = "#*$%&|<>"
 
@@ -66,23 +72,39 @@ def style(text: str, found: list[str]) -> list[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, classes: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_PER_CLASS, chars: int = ROW_CHARS) -> list[tuple[str, int]]:
-    """(text, class) of at most ``rows`` labelled documents of each class: those with the smallest hashes of their ids.
+    """(text, class) of at most ``rows`` labelled documents of each class: of those whose text has at most ``chars`` characters, those with the smallest hashes of their ids.
 
     ``classes`` gives a class from the columns of ``labels``, null for rows without
-    one. Texts over ``chars`` characters are left to those that the model is then
-    applied to. This bounds what the driver reads; in order of id and text, so the
-    fit is the same every time.
+    one. This bounds what the driver reads: one row for an id and class, the smallest text where an id repeats; in order of id and text, so the
+    fit is the same every time. Of near copies among them one is given. Only ids are shuffled, and of them only about three times as many as are picked go on to be sorted.
     """
     marked = labels.select(F.col(id_col).alias("_id"), classes.cast("int").alias("_y")).filter("_id is not null and _y is not null").distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.length("_text") <= chars)
+    fit = checkpoint(marked.join(texts.select("_id").distinct(), "_id", "left_semi"))
     picks = None
-    for y in sorted(r["_y"] for r in marked.select("_y").distinct().limit(64).collect()):
-        part = marked.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    for y, n in sorted((r["_y"], r["n"]) for r in fit.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy("_y").limit(64).collect()):
+        part = fit.filter(F.col("_y") == y)
+        if n > 4 * rows:
+            part = part.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) < F.lit(int(3 * rows / n * (1 << 32))))
+        part = part.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)), "_id").limit(rows)
         picks = part if picks is None else picks.unionByName(part)
     if picks is None:
         return []
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.length("_text") <= chars)
-    found = texts.join(F.broadcast(picks), "_id").select("_id", "_text", "_y").collect()
-    return [(r["_text"], r["_y"]) for r in sorted(found, key=lambda r: (r["_id"], r["_text"], r["_y"]))]
+    found = texts.join(F.broadcast(picks), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
+    return once([(r["_text"], r["_y"]) for r in sorted(found, key=lambda r: (r["_id"], r["_text"], r["_y"]))])
+
+
+def once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """``rows`` with one of each group of near copies, the first: what copies share would pass for what a class shares."""
+    signed = signatures(*bags([word_hashes(t) for t, _ in rows]), len(rows), registers=COPY_REGISTERS)
+    seen: set[tuple[int, bytes]] = set()
+    out = []
+    for row, registers in zip(rows, signed, strict=True):
+        keys = {(k, registers[k : k + COPY_ROWS].tobytes()) for k in range(0, COPY_REGISTERS, COPY_ROWS)}
+        if not keys & seen:
+            out.append(row)
+        seen |= keys
+    return out
 
 
 def matrix(counts: list[Counter], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,10 +114,20 @@ def matrix(counts: list[Counter], index: dict[str, int]) -> tuple[np.ndarray, np
     return row, col, np.log1p(val)
 
 
+def chance(c: int, of: int, share: float) -> float:
+    """Upper bound of the logarithm of the probability that c or more of the documents that hold a feature are of a class with that share, if the feature knew nothing of it."""
+    rate = c / of
+    if rate <= share:
+        return 0.0
+    rest = (1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0.0
+    return -of * (rate * np.log(rate / share) + rest)
+
+
 def choose(counts: list[Counter], y: np.ndarray, classes: list[int], features: int = FEATURES) -> list[str]:
-    """The features with ``LEAST_ODDS`` or more smoothed log odds for one of ``classes`` against the rest; the best by odds times the root of their documents.
+    """The features with ``LEAST_ODDS`` or more smoothed log odds for one of ``classes`` against the rest that are unlikely by chance; the best by odds times the root of their documents.
 
     Features that say little are left out: in long texts their many small weights would outweigh the few that count.
+    What counts as chance follows the sizes of the classes (Chernoff's bound of a binomial tail).
     """
     total = Counter(w for x in counts for w in x)
     scores: dict[str, float] = {}
@@ -105,7 +137,7 @@ def choose(counts: list[Counter], y: np.ndarray, classes: list[int], features: i
         for w, c in inside.items():
             if c >= MIN_DOCS:
                 odds = np.log((c + 0.5) / (n + 1)) - np.log((total[w] - c + 0.5) / (out + 1))
-                if odds >= LEAST_ODDS and odds * np.sqrt(c) >= LEAST_SCORE:
+                if odds >= LEAST_ODDS and chance(c, total[w], n / len(y)) <= np.log(SIGNIFICANCE):
                     scores[w] = max(scores.get(w, 0.0), odds * np.sqrt(c))
     return sorted(sorted(scores, key=lambda w: (-scores[w], w))[:features])
 
@@ -114,12 +146,14 @@ def _sums(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray, n: i
     return np.bincount(row, weights=val * w[col], minlength=n)
 
 
-def fit_ordinal(counts: list[Counter], y: np.ndarray, index: dict[str, int], grades: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(counts: list[Counter], y: np.ndarray, index: dict[str, int], grades: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of P(y >= k) = sigmoid(w.x - t_k): one weight vector for all thresholds, which stay in order.
 
-    Thresholds are kept in order as a first value and positive steps; Adam on the mean log likelihood with an L2 penalty.
+    Thresholds are kept in order as a first value and positive steps; Adam on the mean log likelihood with an L2 penalty
+    as of a normal prior of the weights with variance 1 / ``PRIOR``, which counts for less the more rows there are.
     """
     n, m = len(counts), len(index)
+    l2 = PRIOR / max(n, 1)
     row, col, val = matrix(counts, index)
     theta = np.zeros(m + grades - 1)
     theta[m] = 0.5

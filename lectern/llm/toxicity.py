@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.sparse_text import ROWS_PER_CLASS, Lookup, apply, choose, counted, fit_ordinal, sample, words
+from lectern.llm.sparse_text import ROWS_PER_CLASS, SIGNIFICANCE, Lookup, apply, chance, choose, counted, fit_ordinal, sample, words
 
 #: Grades 0 (clean) to 3; a document is rejected if it has grade 1 or more with at least this probability.
 GRADES, REJECT = 4, 0.35
@@ -21,14 +21,18 @@ def grades_of(counts: list[Counter], toxic: np.ndarray) -> np.ndarray:
     """Severity of each labelled document: 0 if not toxic, else 1 to 3 by thirds of how many evidence words it holds.
 
     The labels are yes or no; how severe a toxic text is, is read from the words
-    in it that set toxic documents apart.
+    that set toxic documents apart. Those are found in the other half of the sample, so no document's grade comes from words that it made evidence itself.
     """
-    inside = Counter(w for x, t in zip(counts, toxic, strict=True) if t for w in x)
-    outside = Counter(w for x, t in zip(counts, toxic, strict=True) if not t for w in x)
-    n, m = int(toxic.sum()), int((1 - toxic).sum())
-    strong = {w for w, c in inside.items() if c >= EVIDENCE_DOCS and math.log((c + 0.5) / (n + 1)) - math.log((outside[w] + 0.5) / (m + 1)) >= EVIDENCE_ODDS}
-    held = np.array([sum(c for w, c in x.items() if w in strong) for x in counts])
-    cuts = np.quantile(held[toxic == 1], [1 / 3, 2 / 3]) if n else np.zeros(2)
+    half = np.arange(len(counts)) % 2
+    held = np.zeros(len(counts))
+    for side in (0, 1):
+        inside = Counter(w for x, t, h in zip(counts, toxic, half, strict=True) if t and h != side for w in x)
+        outside = Counter(w for x, t, h in zip(counts, toxic, half, strict=True) if not t and h != side for w in x)
+        n, m = int(toxic[half != side].sum()), int((1 - toxic[half != side]).sum())
+        strong = {w for w, c in inside.items() if c >= EVIDENCE_DOCS and math.log((c + 0.5) / (n + 1)) - math.log((outside[w] + 0.5) / (m + 1)) >= EVIDENCE_ODDS and chance(c, c + outside[w], n / (n + m)) <= math.log(SIGNIFICANCE)}
+        for i in np.flatnonzero(half == side):
+            held[i] = sum(c for w, c in counts[i].items() if w in strong)
+    cuts = np.quantile(held[toxic == 1], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
     return np.where(toxic == 1, 1 + (held > cuts[0]).astype(int) + (held > cuts[1]).astype(int), 0)
 
 
