@@ -27,11 +27,7 @@ def op1() -> str:
       judged AS (SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS ruled FROM u),
       found AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS l FROM u),
       links AS (SELECT src, {host.format("(CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END)")} AS dst FROM found),
-      edges0 AS (SELECT src, dst, count(*)::DOUBLE AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
-      hosts AS (SELECT DISTINCT host FROM (SELECT host FROM u UNION ALL SELECT dst FROM edges0) WHERE host <> ''),
-      parts AS (SELECT string_split(host, '.') AS p FROM hosts),
-      steps AS (SELECT DISTINCT array_to_string(p[i:], '.') AS a, array_to_string(p[i + 1:], '.') AS b FROM (SELECT p, unnest(range(1, len(p))) AS i FROM parts)),
-      edges AS (SELECT * FROM edges0 UNION ALL SELECT a, b, {url_trust.PARENT_WEIGHT}::DOUBLE FROM steps WHERE a <> '' AND b <> '' UNION ALL SELECT b, a, {url_trust.PARENT_WEIGHT}::DOUBLE FROM steps WHERE a <> '' AND b <> ''),
+      edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
       merged AS (SELECT kind, src, dst, sum(w) AS w FROM (SELECT 'trust' AS kind, src, dst, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges) GROUP BY ALL),
       normal AS MATERIALIZED (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS w FROM merged),
       seeds AS (SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS m FROM judged WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
@@ -42,7 +38,7 @@ def op1() -> str:
         coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust FROM judged j LEFT JOIN by_host b ON b.host = j.host"""
 
 
-#: The base patterns as the contract has them, and the added ones without look-around: what precedes and follows is tested on the text.
+#: The base patterns as the contract has them.
 _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
@@ -51,8 +47,14 @@ _PLAIN = {
 }
 
 
+def _mod97(v: str) -> str:
+    """Remainder of an IBAN, digit by digit: letters are two digits."""
+    moved = f"substr(replace({v}, ' ', ''), 5) || substr(replace({v}, ' ', ''), 1, 4)"
+    digits = f"array_to_string(list_transform(string_split({moved}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ord(c) - 55)::VARCHAR END), '')"
+    return f"list_reduce(list_concat([0::BIGINT], list_transform(string_split({digits}, ''), lambda c: c::BIGINT)), lambda acc, c: (acc * 10 + c) % 97)"
+
+
 def op3() -> str:
-    """Base spans by SQL; the corpus of the driver holds no IBAN and no local number with a context word, so the added kinds are empty there."""
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(list_reverse(string_split({digits}, '')), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0"
     tests = {
@@ -60,18 +62,37 @@ def op3() -> str:
         "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda p: try_cast(p AS HUGEINT) <= 255))",
         "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
+        "iban": f"{_mod97('v')} = 1",
+        "phone_local": "true",
+        "secret": "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Fa-f]') AND len(list_distinct(string_split(lower(v), ''))) >= 8",
     }
+    # around whole ASCII words the boundary of this dialect is the look-around of the other
+    plain = _PLAIN | {"iban": pii.PATTERNS["iban"].replace(pii.START, r"\b").replace(pii.END, r"\b"), "secret": pii.PATTERNS["secret"].replace(pii.START, r"\b").replace(pii.END, r"\b")}
+    word = lambda listed: f"regexp_matches(around, '(?i)\\b(?:{listed})\\b')"
+    around = f"substr(t, greatest(s + 1 - {pii.WINDOW}, 1), length(v) + {2 * pii.WINDOW})"
     parts = []
-    for n, kind in enumerate(pii.BASE_KINDS):
-        p = _PLAIN[kind]
-        parts.append(f"""SELECT doc_id, {n} AS k, '{kind}' AS kind, v, s FROM (
-          SELECT doc_id, v[i] AS v, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[:i - 1], lambda x: length(x))), 0))::BIGINT AS s
-          FROM (SELECT doc_id, v, g, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS v, regexp_split_to_array(t, '{p}') AS g FROM d))) WHERE {tests[kind]}""")
-    joined = "coalesce(string_agg(kind || ':' || s::VARCHAR || ':' || (s + length(v))::VARCHAR, ',' ORDER BY k, s), '')"
+    for n, kind in enumerate((*pii.BASE_KINDS, *pii.ADDED_KINDS)):
+        if kind == "phone_local":
+            # tried at every place; of two places with one end the first counts
+            number = r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
+            found = f"""SELECT doc_id, t, v, s FROM (SELECT *, lag(s + length(v)) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM (
+              SELECT doc_id, t, i - 1 AS s, regexp_extract(substr(t, i, 15), '{number}') AS v FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM d WHERE regexp_matches(t, '[0-9]{{3}}[\x20.-][0-9]{{4}}'))
+              WHERE i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[0-9+.-]')) WHERE v <> '' AND NOT regexp_matches(substr(t, s + length(v) + 1, 1), '[0-9]')) WHERE before IS NULL OR before <= s"""
+        else:
+            p = plain[kind]
+            found = f"""SELECT doc_id, t, v[i] AS v, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+              FROM (SELECT doc_id, t, v, g, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS v, regexp_split_to_array(t, '{p}') AS g FROM d))"""
+        words = pii.SECRET_WORDS if kind == "secret" else pii.PERSONAL_WORDS
+        score = f"round(least({pii.BASE_SCORE[kind]}::DOUBLE + CASE WHEN {word(words)} THEN {pii.STEP}::DOUBLE ELSE 0.0 END - CASE WHEN {word(pii.OTHER_WORDS)} THEN {pii.STEP}::DOUBLE ELSE 0.0 END, 1.0), 3)"
+        least = f" WHERE score >= {pii.THRESHOLD}" if kind in pii.ADDED_KINDS else ""
+        parts.append(f"SELECT * FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, v, s, {score} AS score FROM (SELECT *, {around} AS around FROM ({found}) WHERE {tests[kind]})){least}")
+    joined = lambda which: f"coalesce(string_agg(kind || ':' || s::VARCHAR || ':' || (s + length(v))::VARCHAR, ',' ORDER BY k, s){which}, '')"
+    base = f" FILTER (k < {len(pii.BASE_KINDS)})"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE_KINDS)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}),
-      a AS (SELECT doc_id, {counts}, {joined} AS spans FROM f GROUP BY doc_id)
-      SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE_KINDS)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+      a AS (SELECT doc_id, {counts}, {joined(base)} AS base, {joined('')} AS spans, count(*) FILTER (k >= {len(pii.BASE_KINDS)}) AS n_added, count(*) AS n_spans, max(score) AS score FROM f GROUP BY doc_id)
+      SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+        coalesce(n_added, 0) AS n_added, coalesce(n_spans, 0) AS n_spans, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN a USING (doc_id)"""
 
 
 def op7() -> str:
@@ -97,9 +118,11 @@ def op7() -> str:
       tri AS (SELECT doc_id, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
       rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM tri), range(0, 3) r(o) WHERE k > 1 GROUP BY doc_id),
       f AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, {shares("cc")} AS p, {shares("wc")} AS q FROM e LEFT JOIN rep USING (doc_id)),
-      ref AS (SELECT lang, {mean("p", len(quality.CHAR_CLASSES) + 1)} AS rp, {mean("q", n)} AS rq FROM f WHERE n_words >= {quality.MIN_WORDS_CHARS} AND lang <> '' GROUP BY lang
-        UNION ALL SELECT '', {mean("p", len(quality.CHAR_CLASSES) + 1)}, NULL FROM f WHERE n_words >= {quality.MIN_WORDS_CHARS}),
-      j AS (SELECT f.*, CASE WHEN n_words >= {quality.MIN_WORDS_CHARS} THEN {dist("p", "rp")} END AS char_distance, CASE WHEN n_words >= {quality.MIN_WORDS_COMMON} AND q IS NOT NULL THEN {dist("q", "rq")} END AS word_distance FROM f LEFT JOIN ref USING (lang))
+      good AS (SELECT * FROM f WHERE n_words >= {quality.MIN_WORDS_CHARS} AND doc_id IN (SELECT doc_id FROM labels WHERE quality > 0)),
+      ref AS (SELECT lang, {mean("p", len(quality.CHAR_CLASSES) + 1)} AS rp, {mean("q", n)} AS rq FROM good WHERE lang <> '' GROUP BY lang),
+      every AS (SELECT {mean("p", len(quality.CHAR_CLASSES) + 1)} AS ra FROM good),
+      h AS (SELECT f.*, coalesce(rp, ra) AS rp, rq FROM f LEFT JOIN ref USING (lang), every),
+      j AS (SELECT h.*, CASE WHEN n_words >= {quality.MIN_WORDS_CHARS} AND rp[1] IS NOT NULL THEN {dist("p", "rp")} END AS char_distance, CASE WHEN n_words >= {quality.MIN_WORDS_COMMON} AND q IS NOT NULL AND rq IS NOT NULL THEN {dist("q", "rq")} END AS word_distance FROM h)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(char_distance, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {quality.MAX_WORD_DISTANCE} AS kept FROM j"""
 

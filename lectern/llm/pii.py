@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import let
-from lectern.llm.spans import match_spans
+from lectern.functions.spans import let, match_spans
 
 #: Kinds that are always kept when their check holds, in output order.
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds; they need a checksum or a context word.
-ADDED_KINDS = ("iban", "phone_local")
+ADDED_KINDS = ("iban", "phone_local", "secret")
 
+#: Where an ASCII word starts and ends, whatever other letters stand around it.
+START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Length of an IBAN by its country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -24,7 +25,7 @@ IBAN_LENGTHS = {
 def _iban() -> str:
     """By the country's length, so that what follows an IBAN is not taken for a part of it; spaces may stand anywhere between."""
     by_length = "|".join(rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
-    return rf"(?<![A-Za-z0-9])(?:{by_length})(?![A-Za-z0-9])"
+    return f"{START}(?:{by_length}){END}"
 
 
 #: The fixed patterns, in forms that match the same spans in linear time: a match
@@ -37,6 +38,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": _iban(),
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "secret": f"{START}[0-9A-Fa-f]{{32,128}}{END}",
 }
 #: A cheap test that every text with a match of the kind passes.
 PROBES = {
@@ -46,14 +48,20 @@ PROBES = {
     "phone": r"\+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}",
     "phone_local": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    "secret": "[0-9A-Fa-f]{32}",
 }
-BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "phone_local": 0.4}
-#: Words within WINDOW characters that raise or lower a span's score by STEP.
-RAISES = r"(?i)\b(?:tel|phone|call|mobile|fax|contact|mail|email|card|visa|iban|account|bank|address|ip)\b"
-LOWERS = r"(?i)\b(?:order|invoice|version|isbn|ref|serial|example|test)\b"
+BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "phone_local": 0.4, "secret": 0.4}
+#: Words within WINDOW characters that raise or lower a span's score by STEP: of personal data, of secrets, and of what only looks like either.
+PERSONAL_WORDS = "tel|phone|call|mobile|fax|contact|mail|email|card|visa|iban|account|bank|address|ip"
+SECRET_WORDS = "token|key|api|apikey|secret|password|passwd|pwd|auth|bearer|credential|credentials"
+OTHER_WORDS = "order|invoice|version|isbn|ref|serial|example|test|commit|checksum|md5|sha1|sha256"
 WINDOW, STEP, THRESHOLD = 40, 0.2, 0.5
 
 
+def word_of(listed: str) -> str:
+    return f"(?i){START}(?:{listed}){END}"
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -90,13 +98,17 @@ def confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(8, 15)
     if kind == "iban":
         return _mod97(value)
+    if kind == "secret":
+        # drawn at random, 32 hex digits hold letters, digits and many different ones
+        return value.rlike("[0-9]") & value.rlike("[A-Fa-f]") & (F.size(F.array_distinct(F.filter(F.split(F.lower(value), ""), lambda c: c != ""))) >= 8)
     return F.lit(True)
 
 
 def _scored(kind: str, text: Column) -> Column:
     def one(s: Column) -> Column:
         around = F.substring(text, F.greatest(s["start"] + 1 - WINDOW, F.lit(1)), s["end"] - s["start"] + 2 * WINDOW)
-        score = F.lit(BASE_SCORE[kind]) + F.when(around.rlike(RAISES), STEP).otherwise(0.0) - F.when(around.rlike(LOWERS), STEP).otherwise(0.0)
+        raises = word_of(SECRET_WORDS if kind == "secret" else PERSONAL_WORDS)
+        score = F.lit(BASE_SCORE[kind]) + F.when(around.rlike(raises), STEP).otherwise(0.0) - F.when(around.rlike(word_of(OTHER_WORDS)), STEP).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.round(F.least(score, F.lit(1.0)), 3).alias("score"))
 
     found = F.transform(F.filter(match_spans(text, PATTERNS[kind]), lambda s: confirmed(kind, s["value"])), one)
@@ -111,7 +123,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
 
     Offsets are code points, ends exclusive. Base kinds (e-mail, IP, card, phone)
     stay whatever their score; the added kinds (IBAN by mod-97, local phone
-    numbers by a context word) need ``THRESHOLD``. Null or empty text gives an
+    numbers and hexadecimal secrets by a context word) need ``THRESHOLD``. Null or empty text gives an
     empty array. A column of the name ``out`` in ``docs`` is replaced, all others
     pass through; rows are neither dropped nor merged, and nothing is shuffled.
     """

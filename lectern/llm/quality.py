@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpoint, let
+from lectern.functions.spans import let
+from lectern.llm.common import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -106,20 +107,21 @@ def _distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares; null if either is null."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     each = F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.round(F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0))), 6)
+    return F.when(p.isNotNull() & q.isNotNull(), F.round(F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0))), 6))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, good: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, the counts, both distances, ``base_failed`` and ``kept``.
 
-    A language's reference is the mean of the shares of all its documents that have
-    ``MIN_WORDS_CHARS`` words; documents of a language without word list, or of
-    none, are held against the mean of all such documents, by characters alone. Documents under
+    A language's reference is the mean of the shares of its documents among ``good`` (a
+    table of ids, by default all documents) that have
+    ``MIN_WORDS_CHARS`` words; documents of a language without word list or reference, or of
+    none, are held against the mean of all such documents, by characters alone. Without any good document nothing is judged by distance. Documents under
     the minimum lengths are not judged by distance (it is null) and pass the
-    method. Null text counts as empty; repeated rows are judged each; an empty
+    method. Null text counts as empty; repeated rows are judged each, and count each in references; an empty
     table gives an empty result; further columns of ``docs`` are ignored.
 
-    The counts are written once, without texts; the references are five rows at
+    The counts are written once, without texts; of them those of good documents are found by their ids. The references are five rows at
     most, one for each word list and one for all other languages, and broadcast.
     """
     known = F.col("_lang").isin(*COMMON_WORDS)
@@ -129,13 +131,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     n_chars, n_common = len(CHAR_CLASSES) + 1, len(COMMON_WORDS["en"]) + 1
     mean = lambda c, n: F.array(*(F.avg(F.get(c, F.lit(i))) for i in range(n)))
-    long = counted.filter(F.col("n_words") >= MIN_WORDS_CHARS)
-    of_lang = long.filter("_lang <> ''").groupBy("_lang").agg(mean("_p", n_chars).alias("_rp"), mean("_w", n_common).alias("_rw"))
-    of_all = long.groupBy(F.lit("").alias("_lang")).agg(mean("_p", n_chars).alias("_rp"), F.lit(None).cast("array<double>").alias("_rw"))
-    judged = counted.join(F.broadcast(of_lang.unionByName(of_all)), "_lang", "left").select(
+    long = counted.filter(F.col("n_words") >= MIN_WORDS_CHARS).select("_id", "_lang", "_p", "_w")
+    long = long if good is None else long.join(good.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
+    by_lang = checkpoint(long.groupBy("_lang").agg(mean("_p", n_chars).alias("_rp"), mean("_w", n_common).alias("_rw"), F.count(F.lit(1)).alias("_n")))
+    of_lang = by_lang.filter("_lang <> ''").drop("_n")
+    of_all = by_lang.agg(F.array(*(F.sum(F.get("_rp", F.lit(i)) * F.col("_n")) / F.sum("_n") for i in range(n_chars))).alias("_all"))
+    judged = counted.join(F.broadcast(of_lang), "_lang", "left").crossJoin(F.broadcast(of_all)).select(
         F.col("_id").alias(id_col),
         *(F.col(c).cast("bigint").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        F.when(F.col("n_words") >= MIN_WORDS_CHARS, _distance(F.col("_p"), F.col("_rp"))).alias("char_distance"),
+        F.when(F.col("n_words") >= MIN_WORDS_CHARS, _distance(F.col("_p"), F.coalesce(F.col("_rp"), F.when(F.get("_all", F.lit(0)).isNotNull(), F.col("_all"))))).alias("char_distance"),
         F.when(F.col("n_words") >= MIN_WORDS_COMMON, _distance(F.col("_w"), F.col("_rw"))).alias("word_distance"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -15,7 +15,7 @@ from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.near_dedup import near_classes
 from lectern.llm.oracle import oracle_sql  # noqa: F401
-from lectern.llm.pii import BASE_KINDS, find_pii, span_string
+from lectern.llm.pii import ADDED_KINDS, BASE_KINDS, find_pii, span_string
 from lectern.llm.quality import quality_rules
 from lectern.llm.token_counts import count_tokens
 from lectern.llm.url_trust import filter_urls
@@ -40,6 +40,7 @@ def _count_of(kind: str) -> Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``n_added``, ``n_spans`` and the highest ``score`` of a span."""
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"), out="_pii").select("doc_id", "_pii")
     base = F.filter("_pii", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
@@ -47,6 +48,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(_count_of(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(span_string(base), 256).alias("base_sha256"),
         span_string(F.col("_pii")).alias("spans"),
+        F.size(F.filter("_pii", lambda s: s["kind"].isin(*ADDED_KINDS))).cast("bigint").alias("n_added"),
+        F.size("_pii").cast("bigint").alias("n_spans"),
+        F.coalesce(F.array_max(F.transform("_pii", lambda s: s["score"])), F.lit(0.0)).alias("score"),
     )
 
 
@@ -64,7 +68,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+    """Held against the documents that are labelled good."""
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality > 0").select("doc_id"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

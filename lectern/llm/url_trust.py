@@ -18,8 +18,6 @@ RULES = (
 DAMPING, ITERATIONS = 0.85, 10
 #: Verdicts go on from there until a step moves no more than this share of either kind's mass and reaches no further host.
 TOLERANCE = 1e-6
-#: Weight of the edge between a host and its parent domain, against 1 for a link.
-PARENT_WEIGHT = 1.0
 #: A host is blocked if more than this share of its score is distrust.
 BLOCK_SHARE = 0.5
 LINK = r"(?i)\bhref\s{0,8}=\s{0,8}[\"']?((?:[a-z][a-z0-9+.-]{0,30}:)?//[^\"'\s>]+)"
@@ -56,14 +54,14 @@ def link_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.select("src", host_of(absolute).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def parent_edges(hosts: DataFrame) -> DataFrame:
+def parent_edges(hosts: DataFrame, weight: float) -> DataFrame:
     """src, dst, w: from each host to its parent domain and back, up to the last label."""
     labels = F.split("host", r"\.")
     chain = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.transform(F.slice(chain, 1, F.size(chain) - 1), lambda h, i: F.struct(h.alias("a"), chain[i + 1].alias("b")))
     pairs = hosts.select(F.explode(steps).alias("e")).select("e.*").filter("a <> '' and b <> ''").distinct()
     both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
-    return pairs.select(both.alias("e")).select("e.*", F.lit(PARENT_WEIGHT).alias("w"))
+    return pairs.select(both.alias("e")).select("e.*", F.lit(float(weight)).alias("w"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = None) -> DataFrame:
@@ -113,15 +111,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     return both.select("kind", "host", F.coalesce("score", F.lit(0.0)).alias("score"), "settled")
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, parent_weight: float = 0.0) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``.
 
     A page that a rule fits gets the rule's verdict. The pages so allowed and
     blocked are the seeds: a host's seed mass is its number of pages under each
-    verdict. Edges are links between hosts and the steps between a host and its
-    parent domain. Every other page gets its host's verdict: block if distrust is
+    verdict. Edges are links between hosts, weighted by their number; with a ``parent_weight`` also the steps between a host and its
+    parent domain, at that weight. Every other page gets its host's verdict: block if distrust is
     over ``BLOCK_SHARE`` of the host's settled score, unrounded, else allow, which includes hosts
-    that nothing reaches, and pages without a host. Null urls have empty host and
+    that nothing reaches or whose trust equals their distrust, and pages without a host. Null urls have empty host and
     path; null or empty html has no links; repeated rows are judged each; an empty
     table gives an empty result; further columns of ``pages`` are ignored.
 
@@ -138,8 +136,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     of_hosts = checkpoint(judged.groupBy("host", "_ruled").agg(F.count(F.lit(1)).cast("double").alias("mass")))
     kind = F.when(F.col("_ruled") == "allow", "trust").when(F.col("_ruled") == "block", "distrust")
     seeds = of_hosts.filter("_ruled is not null and host <> ''").select(kind.alias("kind"), "host", "mass")
-    hosts = of_hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).filter("host <> ''").distinct()
-    scores = propagate(links.unionByName(parent_edges(hosts)), seeds, tolerance=TOLERANCE)
+    edges = links
+    if parent_weight:
+        hosts = of_hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).filter("host <> ''").distinct()
+        edges = links.unionByName(parent_edges(hosts, parent_weight))
+    scores = propagate(edges, seeds, tolerance=TOLERANCE)
 
     of_kind = lambda k: F.coalesce(F.round(F.sum(F.when(F.col("kind") == k, F.col("score"))), 9), F.lit(0.0)).alias(k)
     settled = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("settled"))), F.lit(0.0))
