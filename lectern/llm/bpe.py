@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -66,6 +67,8 @@ class WordBpe:
         self.split = regex.compile(pattern).findall
         self.split_ascii = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+        #: What every special token starts with: a quick test for texts without any.
+        self.mark = os.path.commonprefix(list(self.special))
 
     def spine(self, token: int, right: bool) -> list[tuple[int, float]]:
         """The symbols that stand at a token's right (or left) edge while it is built, each with the rank of the merge that takes it up."""
@@ -137,7 +140,7 @@ class WordBpe:
         return map(self.words, self.split(text.replace("Σ", "σ").lower()))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.cut and "<|" in text:
+        if self.cut and self.mark in text:
             out = []
             for k, part in enumerate(self.cut(text)):
                 out += [np.array([self.special[part]], dtype="<i4").tobytes()] if k % 2 else self.plain(part)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits in one bitmap of bitmap_construct_agg.
 _CHUNK = 32768
+#: Bits of a bitmap, at least and at most.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,21 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often and in whatever lambda it is used.
-
-    The optimizer inlines a column that is referenced once into the lambda that
-    uses it, where it would be computed anew for every element.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A prefix that no column of ``df`` starts with, in any case."""
     while any(c.lower().startswith(stem) for c in df.columns):
@@ -60,13 +58,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def bit_gate(keys: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
-    """One row with a bitmap of ``bits`` bits (1 MB by default) that has the bit of every key.
+def bit_gate(keys: DataFrame, key: str, most: int = MOST_BITS) -> DataFrame:
+    """One row with a bitmap that has the bit of every key: 16 bits or more a key, from 1 MB to ``most`` bits (8 MB by default).
 
-    The size is fixed whatever the number of keys, so the row may be broadcast;
-    a key's bit is never missing, and where the bitmap fills up the gate only
+    The row may be broadcast whatever the number of keys, which is counted first; ``keys`` should be cheap to read twice. A key's bit is
+    never missing, and where the bitmap fills up the gate only
     lets more rows through to the exact step that follows it.
     """
+    bits = min(most, max(min(most, LEAST_BITS), 1 << (16 * keys.count()).bit_length()))
     pos = F.pmod(F.col(key), F.lit(bits))
     return (
         keys.select(pos.alias("_pos"))
@@ -77,33 +76,9 @@ def bit_gate(keys: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
     )
 
 
-def passes(gate: Column, key: Column, bits: int = 1 << 23) -> Column:
+def passes(gate: Column, key: Column) -> Column:
     """Whether a key's bit is set in the bitmaps of ``bit_gate``."""
-    pos = F.pmod(key, F.lit(bits))
+    pos = F.pmod(key, F.size(gate).cast("bigint") * _CHUNK)
     byte = F.substring(gate[F.floor(pos / _CHUNK).cast("int")], F.floor((pos % _CHUNK) / 8).cast("int") + 1, F.lit(1))
     found = F.conv(F.hex(byte), 16, 10).cast("bigint")
     return F.coalesce(F.call_function("getbit", found, (pos % 8).cast("int")) == 1, F.lit(False))
-
-
-def prefix_sums(lens: Column, block: int = 256) -> Column:
-    """Running sums of an int array, without its own element: [0, a0, a0+a1, ...].
-
-    Two levels of blocks keep the work at n * block steps for arrays of any length.
-    """
-    zero = F.lit(0)
-    add = lambda acc, x: acc + x
-    whole = lambda a, start, n: F.aggregate(F.slice(a, start, n), zero, add)
-
-    def with_array(a: Column) -> Column:
-        blocks = F.transform(F.sequence(zero, F.floor(F.size(a) / block).cast("int")), lambda b: whole(a, b * block + 1, F.lit(block)))
-
-        def with_blocks(s: Column) -> Column:
-            starts = F.transform(F.sequence(zero, F.size(s) - 1), lambda b: whole(s, F.lit(1), b))
-            def at(p: Column) -> Column:
-                return F.transform(a, lambda x, i: p[F.floor(i / block).cast("int")] + whole(a, F.floor(i / block).cast("int") * block + 1, i % block))
-
-            return let(starts, at)
-
-        return let(blocks, with_blocks)
-
-    return let(lens, with_array)

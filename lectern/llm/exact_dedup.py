@@ -28,7 +28,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     size = F.octet_length("_text").cast("bigint")
     lengths = rows.groupBy(size.alias("_n")).count().filter("count > 1")
-    by_length = F.broadcast(bit_gate(lengths, "_n"))
+    by_length = F.broadcast(bit_gate(checkpoint(lengths), "_n"))
 
     start = F.xxhash64(size, ascii_lower(F.substring("_text", 1, prefix)))
     prefixes = rows.crossJoin(by_length).filter(passes(F.col("_gate"), size)).groupBy(start.alias("_p")).count().filter("count > 1")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bit_gate, checkpoint, fresh, let, passes
+from lectern.functions.spans import let
+from lectern.llm.common import bit_gate, checkpoint, fresh, passes
 
 #: Repeated lines are removed in runs of at least so many words.
 MIN_WORDS = 50
@@ -76,7 +77,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "_id", text_col: str = "_text"
     hash_of = lambda h, x: F.xxhash64(F.slice(h, x["a"] + 1, x["b"] - x["a"] + 1))
     hashes = lambda lines: F.transform(lines, lambda x: F.xxhash64(x))
     every = let(F.split(text_col, "\n", -1), lambda lines: let(hashes(lines), lambda h: F.transform(windows(lines, min_words), lambda x: hash_of(h, x))))
-    known = keyed.select(F.explode(every).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    known = checkpoint(keyed.select(F.explode(every).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash"))
     gate = F.broadcast(checkpoint(bit_gate(known, "_hash")))
 
     def with_text(lines: Column, h: Column) -> Column:
