@@ -26,7 +26,7 @@ SURFACE_WORD = "[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 SENTENCE = r"[^.!?]+[.!?]+[\])'\"]*\s*|[^.!?]+\z"
 LEAD_SENTENCE = "[^.!?]{40,240}[.!?]"
 
-# Fixed values: (scheme, priority, names, what may stand between name and number), in order of search.
+# Fixed values: (scheme, priority, names), in order of search, and what may stand between name and number.
 UNIT_SCHEMES = (
     ("Week", 0, "(?:week|wk)"),
     ("Week", 0, "w"),

@@ -164,6 +164,28 @@ def build_user(email: Column) -> Column:
     return F.struct(owner_id(email).alias("id"), display_name(email).alias("name"), trim(email).alias("email"))
 
 
+#: What a browser's encoder leaves as it is and a form's doesn't, and the other way round.
+_URL = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
+
+
+def session_cookie(user: Column) -> Column:
+    """A signed-in user (id, name, email) as a cookie's value."""
+    out = F.url_encode(F.to_json(F.struct(user["id"].alias("id"), user["email"].alias("email"), user["name"].alias("name"))))
+    for a, b in _URL:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def session_user(cookie: Column) -> Column:
+    """struct<id,name,email> from a cookie's value; null if it is malformed or names no id or e-mail. A missing name is made from the e-mail."""
+
+    def read(u: Column) -> Column:
+        full = (F.coalesce(u["id"], F.lit("")) != "") & (F.coalesce(u["email"], F.lit("")) != "")
+        return F.when(full, F.struct(u["id"].alias("id"), F.coalesce(u["name"], display_name(u["email"])).alias("name"), u["email"].alias("email")))
+
+    return let(F.from_json(F.call_function("try_url_decode", cookie), "id string, email string, name string"), read)
+
+
 def file_title(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]+\z", "")
 

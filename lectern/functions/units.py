@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.spans import match_spans
+from lectern.functions.spans import let, match_spans
 from lectern.functions.text import collapse, trim
 
 # boundaries that look at ASCII word characters only
@@ -16,30 +16,34 @@ TAG = "struct<number:int,label:string,confidence:string>"
 CONFIDENCE = ("explicit", "inherited", "inferred")
 
 
-def unit_pattern(name: str) -> str:
-    if name == "w":
-        return rf"(?i){START}w\d{{1,2}}{END}(?=[\s:.\-–—]|\z)"
-    return rf"(?i){START}{name}{fixed.UNIT_GAP}\d{{1,2}}{END}"
+def names_of(pattern: str) -> list[str]:
+    """The words of a scheme's name pattern."""
+    return pattern.removeprefix("(?:").removesuffix(")").split("|")
+
+
+def marker_pattern() -> str:
+    """Any unit marker. No marker holds the start of another, so one search finds what one for each scheme would."""
+    names = "|".join(name for *_, name in fixed.UNIT_SCHEMES if name != "w")
+    return rf"(?i){START}(?:(?:{names}){fixed.UNIT_GAP}\d{{1,2}}{END}|w\d{{1,2}}{END}(?=[\s:.\-–—]|\z))"
 
 
 def find_markers(text: Column) -> Column:
-    """array<struct<index,scheme,priority,number>>, by index; equal indices in the schemes' order."""
+    """array<struct<index,scheme,priority,number>>, by index."""
     low, high = fixed.UNIT_NUMBERS
-    found = []
-    for order, (scheme, priority, name) in enumerate(fixed.UNIT_SCHEMES):
-        spans = match_spans(text, unit_pattern(name))
-        found.append(_as_markers(spans, order, scheme, priority))
-    ordered = F.array_sort(F.filter(F.concat(*found), lambda m: m["number"].between(low, high)))
-    return F.transform(ordered, lambda m: F.struct(m["index"].alias("index"), m["scheme"].alias("scheme"), m["priority"].alias("priority"), m["number"].alias("number")))
-
-
-def _as_markers(spans: Column, order: int, scheme: str, priority: int) -> Column:
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("index"), F.lit(order).alias("order"), F.lit(scheme).alias("scheme"), F.lit(priority).alias("priority"), F.regexp_extract(s["value"], r"(\d+)\z", 1).cast("int").alias("number")
-        ),
-    )
+    named = [(names_of(name), scheme, priority) for scheme, priority, name in fixed.UNIT_SCHEMES]
+
+    def marker(s: Column) -> Column:
+        def tell(word: Column) -> Column:
+            scheme, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+            for words, label, priority in named:
+                scheme, rank = F.when(word.isin(*words), label).otherwise(scheme), F.when(word.isin(*words), priority).otherwise(rank)
+            number = F.regexp_extract(s["value"], r"(\d+)\z", 1).cast("int")
+            return F.struct(s["start"].alias("index"), scheme.alias("scheme"), rank.alias("priority"), number.alias("number"))
+
+        return let(F.lower(F.regexp_extract(s["value"], r"\A[A-Za-z]+", 0)), tell)
+
+    found = F.filter(F.transform(match_spans(text, marker_pattern()), marker), lambda m: m["number"].between(low, high))
+    return F.when(text.rlike(marker_pattern()), found).otherwise(F.array().cast("array<struct<index:int,scheme:string,priority:int,number:int>>"))
 
 
 def canonical_scheme(markers: Column) -> Column:
@@ -83,8 +87,9 @@ def query_intent(text: Column) -> Column:
     return F.struct(numbers.alias("week_numbers"), F.when(F.length(cleaned) < 3, text).otherwise(cleaned).alias("cleaned"))
 
 
-def describe_filter(weeks: list[str] | None, numbers: list[int] | None) -> list[str]:
-    return list(weeks) if weeks else [f"unit {n}" for n in numbers or []]
+def describe_filter(weeks: Column, numbers: Column) -> Column:
+    """What a query is limited to, for its meta row: the labels where there are any, else the numbers."""
+    return F.when(F.size(weeks) > 0, weeks).otherwise(F.transform(numbers, lambda n: F.concat(F.lit("unit "), n.cast("string"))))
 
 
 def units_as_of(blocks: DataFrame, markers: DataFrame, key: str = "document_id", within: int = fixed.EXPLICIT_WITHIN) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.spans import let
@@ -10,16 +10,39 @@ from lectern.functions.text import concept_description, heading_concept, is_conc
 from lectern.functions.units import confidence_rank
 
 
-def word_pairs(chunks: DataFrame, doc: str = "document_id") -> DataFrame:
-    """doc, ordinal, pair, n, surface, first: pairs of neighbouring concept words of four letters or more, counted by chunk."""
+_PAIRS = "array<struct<pair:string,surface:string>>"
 
-    def neighbours(w):
-        return F.when(F.size(w) < 2, F.array().cast("array<struct<a:string,b:string>>")).otherwise(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
+def word_pairs(text: Column) -> Column:
+    """array<struct<pair,surface>>: the pairs of neighbouring concept words of four letters or more, in order; pair is in lower case."""
     fits = lambda w: (F.length(w) >= 4) & is_concept_word(F.lower(w))
-    found = chunks.select(doc, "ordinal", F.posexplode(let(surface_words(F.col("text")), neighbours)).alias("at", "p")).filter(fits(F.col("p.a")) & fits(F.col("p.b")))
-    surface = F.concat("p.a", F.lit(" "), "p.b")
-    return found.groupBy(doc, "ordinal", F.lower(surface).alias("pair")).agg(F.count(F.lit(1)).alias("n"), F.min_by(surface, F.col("at")).alias("surface"), F.min("at").alias("first"))
+
+    def neighbours(w: Column) -> Column:
+        # a word that doesn't fit is null, and so are its pairs
+        kept = F.transform(w, lambda x: F.when(fits(x), x))
+        joined = let(kept, lambda k: F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.when(F.size(w) < 2, F.array().cast(_PAIRS)).otherwise(F.transform(F.filter(joined, lambda x: x.isNotNull()), lambda x: F.struct(F.lower(x).alias("pair"), x.alias("surface"))))
+
+    return let(surface_words(text), neighbours)
+
+
+def _recurring(chunks: Column) -> Column:
+    """array<struct<ordinal,pair,n,surface>> from array<struct<ordinal,heading,pairs>>, the chunks of one document: counts by chunk of the pairs that recur in the document."""
+    places = lambda c: F.transform(c["pairs"], lambda p, i: F.struct(p["pair"].alias("pair"), c["ordinal"].alias("ordinal"), i.alias("at"), p["surface"].alias("surface")))
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        before = lambda i: F.get(s, F.greatest(i - 1, F.lit(0)))
+        new = lambda i: (i == 0) | (s[i]["pair"] != before(i)["pair"]) | (s[i]["ordinal"] != before(i)["ordinal"])
+
+        def counted(starts: Column) -> Column:
+            each = F.transform(starts, lambda i, j: F.struct(s[i]["ordinal"].alias("ordinal"), s[i]["pair"].alias("pair"), (F.coalesce(F.get(starts, j + 1), n) - i).alias("n"), s[i]["surface"].alias("surface")))
+            same = lambda e, x: F.coalesce(x["pair"] == e["pair"], F.lit(False))
+            return let(each, lambda a: F.filter(a, lambda e, j: (e["n"] > 1) | ((j > 0) & same(e, F.get(a, F.greatest(j - 1, F.lit(0))))) | same(e, F.get(a, j + 1))))
+
+        return F.when(n > 0, let(F.filter(F.sequence(F.lit(0), n - 1), new), counted))
+
+    return let(F.array_sort(F.flatten(F.transform(chunks, places))), runs)
 
 
 def mine_concepts(chunks: DataFrame, doc: str = "document_id") -> DataFrame:
@@ -27,18 +50,17 @@ def mine_concepts(chunks: DataFrame, doc: str = "document_id") -> DataFrame:
 
     One pair goes with a heading, two without one; a pair whose first word is part
     of the heading's concept adds nothing. Chunks without concepts have an empty list.
+    Pairs are filtered and counted within arrays: one shuffle brings the chunks of a document together.
     """
-    headed = chunks.select(doc, "ordinal", heading_concept(F.try_element_at("headings", F.lit(-1))).alias("heading"))
-    pairs = word_pairs(chunks, doc)
-    in_document = pairs.groupBy(doc, "pair").agg(F.sum("n").alias("total")).filter("total >= 2")
-    new = pairs.join(in_document, [doc, "pair"], "left_semi").join(headed, [doc, "ordinal"])
-    new = new.filter(F.instr(F.lower(F.coalesce("heading", F.lit(""))), F.split("pair", " ")[0]) == 0)
-    rank = F.row_number().over(Window.partitionBy(doc, "ordinal").orderBy(F.col("n").desc(), F.collate("pair", "UNICODE")))
-    best = new.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("heading").isNull(), 2).otherwise(1))
-    by_chunk = best.groupBy(doc, "ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "surface"))), lambda x: title_case(x["surface"])).alias("pairs"))
-    named = headed.join(by_chunk, [doc, "ordinal"], "left")
+    heading = heading_concept(F.try_element_at("headings", F.lit(-1)))
+    found = chunks.select(doc, F.struct("ordinal", heading.alias("heading"), word_pairs(F.col("text")).alias("pairs")).alias("c"))
+    whole = found.groupBy(doc).agg(F.collect_list("c").alias("c")).withColumn("r", F.coalesce(_recurring(F.col("c")), F.array().cast("array<struct<ordinal:int,pair:string,n:int,surface:string>>")))
+    each = whole.select(doc, F.explode(F.transform("c", lambda c: F.struct(c["ordinal"].alias("ordinal"), c["heading"].alias("heading")))).alias("c"), "r").select(doc, "c.ordinal", "c.heading", "r")
+    new = F.filter("r", lambda x: (x["ordinal"] == F.col("ordinal")) & (F.instr(F.lower(F.coalesce("heading", F.lit(""))), F.split(x["pair"], " ")[0]) == 0))
+    best = F.array_sort(F.transform(new, lambda x: F.struct((-x["n"]).alias("n"), F.collate(x["pair"], "UNICODE").alias("pair"), x["surface"].alias("surface"))))
+    named = F.transform(F.slice(best, 1, F.when(F.col("heading").isNull(), 2).otherwise(1)), lambda x: title_case(x["surface"]))
     none = F.array().cast("array<string>")
-    return named.select(doc, "ordinal", F.concat(F.when(F.col("heading").isNull(), none).otherwise(F.array("heading")), F.coalesce("pairs", none)).alias("concepts"))
+    return each.select(doc, "ordinal", F.concat(F.when(F.col("heading").isNull(), none).otherwise(F.array("heading")), named).alias("concepts"))
 
 
 def apply_model_enrichment(chunks: DataFrame, enrichment: DataFrame | None, doc: str = "document_id") -> DataFrame:

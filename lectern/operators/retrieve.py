@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.text import lexical_text, tokenise
-from lectern.functions.units import query_intent
+from lectern.functions.text import lexical_text
+from lectern.functions.units import describe_filter, query_intent
 from lectern.functions.vectors import dot, embed_rows
-from lectern.operators.bm25 import bm25_scores, term_rows
+from lectern.operators.bm25 import bm25_scores, lengths, query_terms, term_counts
+from lectern.operators.tables import checkpoint, is_few, small
 
 QUERY_SCHEMA = "query_id bigint, text string, weeks array<string>, week_numbers array<int>, document_ids array<string>, concepts array<string>, kinds array<string>"
 
@@ -33,7 +34,7 @@ def query_table(spark: SparkSession, queries: list[tuple[int, str, Filters]]) ->
 
 
 def clamp_k(k: int | None) -> int:
-    return max(1, min(fixed.MAX_K, k or fixed.TOP_K))
+    return max(1, min(fixed.MAX_K, fixed.TOP_K if k is None else k))
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -59,20 +60,29 @@ def passes_filters() -> Column:
 
 
 def candidates(chunks: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id with the keys of the chunks its filters leave. Chunks without a document drop out.
+    """query_id, seq, document_id, len, dense, odd: the chunks that each query's filters leave. Chunks without a document drop out.
 
-    A stated set of queries against all chunks: no column that is wide takes part.
+    A stated set of queries against all chunks. ``dense`` is the dot product with the query's vector, computed where the two meet, so that no vector
+    is shuffled; ``odd`` says that their widths differ. Queries without a vector have no dense score.
     """
-    slim = chunks.select("seq", "document_id", "week", "concepts", "len", "width").join(documents.select(F.col("id").alias("document_id"), "kind"), "document_id")
-    asked = queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("weeks", "week_numbers", "document_ids", "concepts", "kinds")))
-    return slim.crossJoin(asked).filter(passes_filters()).select("query_id", "seq", "document_id", "len", "width")
+    kinds = small(documents.select(F.col("id").alias("document_id"), "kind"))
+    slim = chunks.select("seq", "document_id", "week", "concepts", "len", "embedding").join(kinds, "document_id")
+    asked = small(queries.select("query_id", "qv", *(F.col(c).alias(f"q_{c}") for c in ("weeks", "week_numbers", "document_ids", "concepts", "kinds"))))
+    odd = F.size("embedding") != F.size("qv")
+    found = slim.crossJoin(asked).filter(passes_filters())
+    return found.select("query_id", "seq", "document_id", "len", F.when(F.col("qv").isNotNull() & ~odd, dot(F.col("embedding"), F.col("qv"))).alias("dense"), F.coalesce(F.col("qv").isNotNull() & odd, F.lit(False)).alias("odd"))
 
 
-def min_max(value: str, key: str = "query_id") -> Column:
-    """Scaled to 0..1 over a query's candidates; where all are equal, 1 if they are positive, else 0."""
-    over = Window.partitionBy(key)
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.when(high - low < 1e-9, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((F.col(value) - low) / (high - low))
+def scale(scores: DataFrame, columns: list[str], key: str = "query_id", few: bool = True) -> DataFrame:
+    """``scores`` with the columns scaled to 0..1 over a query's candidates; where all are equal, 1 if they are positive, else 0.
+
+    Two sums a query, joined back: no task holds all of a query's candidates. ``few`` queries may be broadcast.
+    """
+    ends = scores.groupBy(key).agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in columns for f in (F.min, F.max)))
+    joined = scores.join(F.broadcast(ends) if few else ends, key)
+    low, high = (lambda c: F.col(f"_min_{c}")), (lambda c: F.col(f"_max_{c}"))
+    one = lambda c: F.when(high(c) - low(c) < 1e-9, F.when(high(c) > 0, 1.0).otherwise(0.0)).otherwise((F.col(c) - low(c)) / (high(c) - low(c)))
+    return joined.withColumns({c: one(c) for c in columns}).select(scores.columns)
 
 
 def concept_scores(chunks: DataFrame, concepts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,18 +100,23 @@ def concept_scores(chunks: DataFrame, concepts: DataFrame, vectors: DataFrame) -
     return best, names
 
 
-def fuse(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+def fuse(scores: DataFrame, weights: dict[str, float], few: bool = True) -> DataFrame:
     """``scores`` (query_id, dense, lexical, concept) with the weighted sum of the scaled channels; raw scores stay beside it."""
-    total = sum((F.lit(weights[c]) * min_max(c) for c in ("lexical", "concept")), F.lit(weights["dense"]) * min_max("dense"))
-    return scores.withColumn("score", total)
+    scaled = scale(scores.withColumns({f"_{c}": F.col(c) for c in weights}), [f"_{c}" for c in weights], few=few)
+    first, *others = (F.lit(weights[c]) * F.col(f"_{c}") for c in ("dense", "lexical", "concept"))
+    return scaled.withColumn("score", sum(others, first)).select(*scores.columns, "score")
 
 
 def diversify(scores: DataFrame, k: int, decay: float = fixed.DIVERSITY) -> DataFrame:
-    """Each further hit of a document counts less; then the best k of each query. Ties go by place in the corpus."""
+    """Each further hit of a document counts less; then the best k of each query. Ties go by place in the corpus.
+
+    Scores aren't negative, so a hit that k of its own document go before is not among the best k: both ranks are
+    limits, which cut each task's rows before they meet.
+    """
     order = [F.col("score").desc(), F.col("seq")]
-    nth = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order)) - 1
+    nth = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_less").desc(), F.col("_before"), F.col("seq")))
-    ranked = scores.withColumn("_nth", nth).withColumn("_before", -F.col("score")).withColumn("_less", F.col("score") / (1 + F.lit(decay) * F.col("_nth")))
+    ranked = scores.withColumn("_nth", nth).filter(F.col("_nth") <= k).withColumn("_before", -F.col("score")).withColumn("_less", F.col("score") / (1 + F.lit(decay) * (F.col("_nth") - 1)))
     return ranked.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("score", F.col("_less")).drop("_nth", "_before", "_less")
 
 
@@ -115,28 +130,30 @@ def retrieve(chunks: DataFrame, documents: DataFrame, concepts: DataFrame, queri
     and dense and concept scores are 0 for all. ``meta`` has a row for each query,
     also for those without candidates: applied_weeks, matched_concepts, stale_index.
     """
-    asked = prepare_queries(queries)
+    asked = checkpoint(prepare_queries(queries))
+    few = is_few(asked)
     if vectors is None:
         vectors = embed_rows(asked.select("query_id", "cleaned"), "query_id", F.col("cleaned"), "qv").select("query_id", "qv")
-    tokens = tokenise(lexical_text(F.col("headings"), F.col("concepts"), F.col("text")))
-    sized = chunks.withColumns({"len": F.size(tokens), "width": F.size("embedding")})
-    found = candidates(sized, documents, asked)
-    terms = term_rows(chunks, "seq", lexical_text(F.col("headings"), F.col("concepts"), F.col("text")))
-    lexical = bm25_scores(found, terms, asked.select("query_id", F.col("cleaned").alias("text")))
-
-    widths = vectors.select("query_id", "qv", F.size("qv").alias("qw"))
-    stale = found.join(widths.select("query_id", "qw"), "query_id").groupBy("query_id").agg(F.bool_or(F.col("width") != F.col("qw")).alias("stale_index"))
-    fresh = widths.join(stale, "query_id").filter("not stale_index").select("query_id", "qv")
-    dense = found.select("query_id", "seq").join(chunks.select("seq", "embedding"), "seq").join(fresh, "query_id").select("query_id", "seq", dot(F.col("embedding"), F.col("qv")).alias("dense"))
+    vectors = checkpoint(vectors)
+    texts = asked.select("query_id", F.col("cleaned").alias("text"))
+    # texts are tokenised once; what is left are a few counts each
+    counts = checkpoint(term_counts(chunks, "seq", lexical_text(F.col("headings"), F.col("concepts"), F.col("text")), query_terms(texts)))
+    sized = chunks.join(lengths(counts), "seq")
+    found = checkpoint(candidates(sized, documents, asked.join(vectors, "query_id", "left")))
+    lexical = bm25_scores(found, counts, texts)
+
+    stale = checkpoint(found.groupBy("query_id").agg(F.bool_or("odd").alias("stale_index")))
+    fresh = vectors.join(stale.filter("not stale_index"), "query_id", "left_semi")
     concept, matched = concept_scores(chunks, concepts, fresh)
 
-    joined = found.select("query_id", "seq", "document_id").join(dense, ["query_id", "seq"], "left").join(lexical, ["query_id", "seq"], "left").join(concept, ["query_id", "seq"], "left")
-    scores = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("dense", "lexical", "concept")})
-    top = diversify(fuse(scores, fixed.SEMANTIC_WEIGHTS if semantic else fixed.LOCAL_WEIGHTS), k)
+    joined = found.select("query_id", "seq", "document_id", "dense").join(stale, "query_id").withColumn("dense", F.when(~F.col("stale_index"), F.col("dense"))).drop("stale_index")
+    joined = joined.join(lexical, ["query_id", "seq"], "left").join(concept, ["query_id", "seq"], "left")
+    scores = checkpoint(joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("dense", "lexical", "concept")}))
+    top = diversify(fuse(scores, fixed.SEMANTIC_WEIGHTS if semantic else fixed.LOCAL_WEIGHTS, few), k)
+    top = F.broadcast(top) if few else top
     shown = documents.select(F.col("id").alias("document_id"), F.struct("id", "title", "kind", "origin").alias("document"))
-    results = top.join(chunks.drop("embedding", "document_id"), "seq").join(shown, "document_id")
+    results = chunks.drop("embedding", "document_id").join(top, "seq").join(shown, "document_id")
     results = results.select("query_id", "rank", "seq", "id", "document_id", "ordinal", "text", "headings", "week", "concepts", "document", "score", F.struct("dense", "lexical", "concept").alias("breakdown"))
 
-    units = F.when(F.size("weeks") > 0, F.col("weeks")).otherwise(F.transform("week_numbers", lambda n: F.concat(F.lit("unit "), n.cast("string"))))
-    meta = asked.select("query_id", "cleaned", units.alias("applied_weeks")).join(stale, "query_id", "left").join(matched, "query_id", "left")
+    meta = asked.select("query_id", "cleaned", describe_filter(F.col("weeks"), F.col("week_numbers")).alias("applied_weeks")).join(stale, "query_id", "left").join(matched, "query_id", "left")
     return results, meta.withColumns({"stale_index": F.coalesce("stale_index", F.lit(False)), "matched_concepts": F.coalesce("matched_concepts", F.array().cast("array<string>"))})

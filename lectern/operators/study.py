@@ -12,7 +12,8 @@ from lectern.functions.text import card_concept, card_front, lead_sentence, snip
 from lectern.operators.retrieve import Filters
 
 MODES = ("summary", "flashcards", "quiz")
-EMPTY_SUMMARY = "Nothing in your library matches that scope yet. Add a source or widen the filters."
+EMPTY_SUMMARY = "No passage fits this scope. Loosen the filters, or add sources."
+QUIZ_NOTE = "A quiz needs a language model; these are flashcards made from the passages."
 
 
 @dataclass

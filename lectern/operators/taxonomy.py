@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalise_concept
@@ -33,6 +33,16 @@ def corpus_totals(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.agg(F.count(F.lit(1)).alias("document_count")).crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunk_count")))
 
 
+def passage_total(documents: DataFrame) -> DataFrame:
+    """document_count, passages: the documents' own counts of chunks, summed."""
+    return documents.agg(F.count(F.lit(1)).alias("document_count"), F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("bigint").alias("passages"))
+
+
+def capped(values: Column, limit: int) -> Column:
+    """struct<shown,more>: the first values of a list and how many more there are."""
+    return F.struct(F.slice(values, 1, limit).alias("shown"), F.greatest(F.size(values) - limit, F.lit(0)).alias("more"))
+
+
 def unit_concepts(concept_facet: DataFrame, label: str, limit: int | None = None) -> DataFrame:
     """Concepts of one unit, as a side bar lists them; ``limit`` is how many it shows."""
     own = concept_facet.filter(F.array_contains("week_labels", label))
