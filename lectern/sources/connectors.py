@@ -2,7 +2,8 @@
 
 ``spark.dataSource.register(NotesConnector)``, then
 ``spark.read.format("notes_connector").option("service", "notion").load()``. Options:
-``ids`` (comma-separated external ids), ``list`` (true: references only), ``live`` (needs a token in the service's variable).
+``ids`` (comma-separated external ids), ``list`` (true: references only), ``live`` (true, false, or auto, which is the default: live where the service's variable holds a token).
+A document that can't be fetched is a row with its ``error``; ``read_connector`` makes text of blocks and paragraphs.
 """
 
 from __future__ import annotations
@@ -12,13 +13,20 @@ import os
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SERVICES = {"notion": "NOTION_TOKEN", "gdocs": "GOOGLE_ACCESS_TOKEN"}
+from lectern.functions.text import trim
+
+#: Services: the variable of the token, name and description.
+SERVICES = {
+    "notion": ("NOTION_TOKEN", "Notion", "Pages of a Notion workspace."),
+    "gdocs": ("GOOGLE_ACCESS_TOKEN", "Google Docs", "Documents of a Google Drive."),
+}
 # Fixed values of the services' interfaces.
 PAGE_SIZE, LISTED, BLOCKS, DEPTH = 50, 50, 100, 3
 NOTION_VERSION = "2022-06-28"
@@ -39,57 +47,72 @@ FIXTURES = {
 }
 
 
-def block_markdown(kind: Column, text: Column, depth: Column, checked: Column | None = None, language: Column | None = None) -> Column:
-    """One block as Markdown; list items are indented by depth."""
-    indent = F.repeat(F.lit("  "), depth)
-    mark = F.when(F.coalesce(checked if checked is not None else F.lit(False), F.lit(False)), "- [x] ").otherwise("- [ ] ")
+BLOCK = "struct<kind:string,text:string,depth:int,language:string>"
+PARAGRAPH = "struct<style:string,runs:array<string>>"
+
+
+def block_markdown(block: Column) -> Column:
+    """One block (kind, text, depth, language) as Markdown; list items are indented by depth, headings, code and dividers stand apart."""
+    kind, text = block["kind"], F.coalesce(block["text"], F.lit(""))
+    item = lambda mark: F.concat(F.repeat(F.lit("  "), block["depth"]), F.lit(mark), text)
+    apart = lambda *parts: F.concat(F.lit("\n"), *parts, F.lit("\n"))
     fence = F.lit("```")
     return (
-        F.when(kind == "heading_1", F.concat(F.lit("# "), text))
-        .when(kind == "heading_2", F.concat(F.lit("## "), text))
-        .when(kind == "heading_3", F.concat(F.lit("### "), text))
-        .when(kind == "bulleted_list_item", F.concat(indent, F.lit("- "), text))
-        .when(kind == "numbered_list_item", F.concat(indent, F.lit("1. "), text))
-        .when(kind == "to_do", F.concat(indent, mark, text))
+        F.when(kind == "heading_1", apart(F.lit("# "), text))
+        .when(kind.isin("heading_2", "child_page"), apart(F.lit("## "), text))
+        .when(kind == "heading_3", apart(F.lit("### "), text))
+        .when(kind == "bulleted_list_item", item("- "))
+        .when(kind == "numbered_list_item", item("1. "))
+        .when(kind == "to_do", item("- [ ] "))
         .when(kind == "quote", F.concat(F.lit("> "), text))
-        .when(kind == "code", F.concat(fence, F.coalesce(language if language is not None else F.lit(""), F.lit("")), F.lit("\n"), text, F.lit("\n"), fence))
-        .when(kind == "divider", F.lit("---"))
-        .when(kind == "child_page", F.concat(F.lit("## "), text))
+        .when(kind == "code", apart(fence, F.coalesce(block["language"], F.lit("")), F.lit("\n"), text, F.lit("\n"), fence))
+        .when(kind == "divider", F.lit("\n---\n"))
         .otherwise(text)
     )
 
 
+def _joined(lines: Column) -> Column:
+    """Lines as one text, with at most one empty line in a row."""
+    return trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+
+
+def blocks_text(blocks: Column) -> Column:
+    return _joined(F.transform(blocks, block_markdown))
+
+
 def rich_text(runs: Column) -> Column:
-    return F.array_join(F.transform(runs, lambda r: F.coalesce(r["plain_text"], F.lit(""))), "")
+    """The text of array<struct<plain_text>>."""
+    return F.array_join(F.transform(F.coalesce(runs, F.array().cast("array<struct<plain_text:string>>")), lambda r: F.coalesce(r["plain_text"], F.lit(""))), "")
 
 
 def blocks_to_documents(blocks: DataFrame) -> DataFrame:
-    """page_id, text from landed block rows: page_id, parent_id (null at the top), block_id, position, kind, text.
+    """page_id, text from landed block rows: page_id, parent_id (null at the top), block_id, position, kind, rich_text, language.
 
-    Children follow their parent, down to ``DEPTH`` levels; three newlines or more become two.
+    Children follow their parent, down to ``DEPTH`` levels.
     """
-    blocks.createOrReplaceTempView("_blocks")
+    view = f"_blocks_{uuid.uuid4().hex}"
+    blocks.withColumn("text", rich_text(F.col("rich_text"))).createOrReplaceTempView(view)
     walked = blocks.sparkSession.sql(f"""
         WITH RECURSIVE walk AS (
-          SELECT page_id, block_id, kind, text, 0 AS depth, lpad(cast(position AS string), 8, '0') AS path FROM _blocks WHERE parent_id IS NULL
+          SELECT page_id, block_id, kind, text, language, 0 AS depth, lpad(cast(position AS string), 8, '0') AS path FROM {view} WHERE parent_id IS NULL
           UNION ALL
-          SELECT b.page_id, b.block_id, b.kind, b.text, w.depth + 1, concat(w.path, '/', lpad(cast(b.position AS string), 8, '0'))
-          FROM walk w JOIN _blocks b ON b.page_id = w.page_id AND b.parent_id = w.block_id WHERE w.depth < {DEPTH}
+          SELECT b.page_id, b.block_id, b.kind, b.text, b.language, w.depth + 1, concat(w.path, '/', lpad(cast(b.position AS string), 8, '0'))
+          FROM walk w JOIN {view} b ON b.page_id = w.page_id AND b.parent_id = w.block_id WHERE w.depth < {DEPTH}
         ) SELECT * FROM walk""")
-    lines = walked.withColumn("line", block_markdown(F.col("kind"), F.col("text"), F.col("depth"))).filter("line <> ''")
-    joined = lines.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n\n").alias("text"))
-    return joined.withColumn("text", F.regexp_replace("text", r"\n{3,}", "\n\n"))
+    part = F.struct("path", F.struct("kind", "text", F.col("depth").cast("int").alias("depth"), "language").alias("block"))
+    placed = walked.groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return placed.select("page_id", blocks_text(F.transform("parts", lambda p: p["block"])).alias("text"))
 
 
 def paragraphs_text(paragraphs: Column) -> Column:
-    """Text of array<struct<style,runs:array<string>>>: runs joined, final newlines cut, headings marked, blank paragraphs kept as empty lines."""
+    """Text of array<struct<style,runs>>: runs joined, final newlines cut, headings marked, blank paragraphs kept as empty lines."""
 
     def one(p: Column) -> Column:
         text = F.regexp_replace(F.array_join(p["runs"], ""), r"\n+\z", "")
-        level = F.regexp_extract(p["style"], r"\AHEADING_([1-6])\z", 1)
-        return F.when(F.trim(text) == "", F.lit("")).when(level != "", F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), text)).otherwise(text)
+        level = F.regexp_extract(F.coalesce(p["style"], F.lit("")), r"\AHEADING_([1-6])\z", 1)
+        return F.when(trim(text) == "", F.lit("")).when(level != "", F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), text)).otherwise(text)
 
-    return F.regexp_replace(F.array_join(F.transform(paragraphs, one), "\n"), r"\n{3,}", "\n\n")
+    return _joined(F.transform(paragraphs, one))
 
 
 def call(url: str, token: str, body: dict | None = None, headers: dict | None = None) -> dict:
@@ -103,32 +126,33 @@ def call(url: str, token: str, body: dict | None = None, headers: dict | None =
         raise RuntimeError(f"{url} answered {e.code}: {e.read().decode(errors='replace')[:500]}") from e
 
 
-def _notion_text(token: str, block: str, depth: int = 0) -> list[str]:
-    """Markdown of the blocks under one, page by page of the listing, children after their parent."""
-    prefix = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> ", "child_page": "## "}
-    out, cursor = [], None
+def _notion_blocks(token: str, block: str, depth: int = 0) -> Iterator[dict]:
+    """The blocks under one, page by page of the listing, children after their parent."""
+    cursor = None
     while True:
         url = f"https://api.notion.com/v1/blocks/{block}/children?page_size={BLOCKS}" + (f"&start_cursor={cursor}" if cursor else "")
         page = call(url, token, headers={"Notion-Version": NOTION_VERSION})
         for b in page["results"]:
-            kind, inner = b["type"], b.get(b["type"], {})
-            text = inner.get("title") or "".join(r.get("plain_text", "") for r in inner.get("rich_text", []))
-            line = {"divider": "---", "to_do": f"- [{'x' if inner.get('checked') else ' '}] {text}", "code": f"```{inner.get('language', '')}\n{text}\n```"}.get(kind, prefix.get(kind, "") + text)
-            indent = "  " * depth if kind in ("bulleted_list_item", "numbered_list_item", "to_do") else ""
-            out += [indent + line] if line else []
+            inner = b.get(b["type"]) or {}
+            text = inner.get("title", "") if b["type"] == "child_page" else _plain(inner.get("rich_text"))
+            yield {"kind": b["type"], "text": text, "depth": depth, "language": inner.get("language")}
             if b.get("has_children") and depth < DEPTH:
-                out += _notion_text(token, b["id"], depth + 1)
-        if not page.get("has_more"):
-            return out
-        cursor = page["next_cursor"]
+                yield from _notion_blocks(token, b["id"], depth + 1)
+        cursor = page.get("next_cursor") if page.get("has_more") else None
+        if not cursor:
+            return
+
+
+def _plain(runs: list[dict] | None) -> str:
+    return "".join(r.get("plain_text") or "" for r in runs or [])
 
 
 def _live(service: str, token: str) -> Iterator[tuple]:
     if service == "notion":
         found = call("https://api.notion.com/v1/search", token, {"filter": {"property": "object", "value": "page"}, "page_size": LISTED}, {"Notion-Version": NOTION_VERSION})
         for p in found["results"]:
-            titles = [v["title"] for v in p.get("properties", {}).values() if v.get("type") == "title"]
-            yield p["id"], "".join(r.get("plain_text", "") for t in titles for r in t) or "Untitled Notion page", p.get("url"), p.get("last_edited_time")
+            titles = [_plain(v.get("title")) for v in (p.get("properties") or {}).values() if v.get("type") == "title"]
+            yield p["id"], (titles or [""])[0] or "Untitled Notion page", p.get("url"), p.get("last_edited_time")
     else:
         query = urllib.parse.quote(f"mimeType='{GOOGLE_MIME}' and trashed=false")
         found = call(f"https://www.googleapis.com/drive/v3/files?q={query}&pageSize={PAGE_SIZE}&fields=files(id,name,webViewLink,modifiedTime)", token)
@@ -136,18 +160,11 @@ def _live(service: str, token: str) -> Iterator[tuple]:
             yield d["id"], d["name"], d.get("webViewLink"), d.get("modifiedTime")
 
 
-def _live_text(service: str, token: str, doc: str) -> str:
-    import re
-
-    if service == "notion":
-        return re.sub(r"\n{3,}", "\n\n", "\n\n".join(_notion_text(token, doc)))
-    lines = []
-    for part in call(f"https://docs.googleapis.com/v1/documents/{doc}", token).get("body", {}).get("content", []):
-        if p := part.get("paragraph"):
-            text = "".join(e.get("textRun", {}).get("content", "") for e in p.get("elements", [])).rstrip("\n")
-            level = re.fullmatch(r"HEADING_([1-6])", p.get("paragraphStyle", {}).get("namedStyleType", ""))
-            lines.append((f"{'#' * int(level[1])} " if level and text.strip() else "") + text if text.strip() else "")
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines))
+def _paragraphs(token: str, doc: str) -> Iterator[dict]:
+    for part in (call(f"https://docs.googleapis.com/v1/documents/{doc}", token).get("body") or {}).get("content", []):
+        if (p := part.get("paragraph")) is not None:
+            runs = [(e.get("textRun") or {}).get("content") or "" for e in p.get("elements", [])]
+            yield {"style": (p.get("paragraphStyle") or {}).get("namedStyleType"), "runs": runs}
 
 
 class _Doc(InputPartition):
@@ -156,29 +173,43 @@ class _Doc(InputPartition):
 
 
 class ConnectorReader(DataSourceReader):
-    """One partition for each document, so texts are fetched on the executors."""
+    """One partition for each document, so texts are fetched on the executors, and each fails on its own."""
 
     def __init__(self, options: dict):
         self.service = options.get("service", "")
         if self.service not in SERVICES:
             raise ValueError(f"unknown connector {self.service!r}")
-        self.live = options.get("live", "false").lower() == "true"
+        variable = SERVICES[self.service][0]
+        given, asked = os.environ.get(variable, ""), options.get("live", "auto").lower()
+        if asked == "true" and not given:
+            raise ValueError(f"live {self.service} needs {variable}")
+        self.token = "" if asked == "false" else given
         self.listing = options.get("list", "false").lower() == "true"
-        self.ids = {i for i in options.get("ids", "").split(",") if i}
-        self.token = os.environ.get(SERVICES[self.service], "") if self.live else ""
-        if self.live and not self.token:
-            raise ValueError(f"live {self.service} needs {SERVICES[self.service]}")
+        self.ids = [i for i in options.get("ids", "").split(",") if i]
 
     def partitions(self) -> list[InputPartition]:
-        rows = _live(self.service, self.token) if self.live else ((i, t, None, None) for i, t, _ in FIXTURES[self.service])
-        return [_Doc(r) for r in rows if not self.ids or r[0] in self.ids]
+        rows = list(_live(self.service, self.token) if self.token else ((i, t, None, None) for i, t, _ in FIXTURES[self.service]))
+        if not self.ids:
+            return [_Doc(r) for r in rows]
+        known = {r[0]: r for r in rows}
+        # what the listing's first page doesn't show may still be there live; of the fixtures it is all
+        return [_Doc(known.get(i, (i, None, None, None))) for i in self.ids]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         doc, title, origin, updated = partition.value
-        text = None
-        if not self.listing:
-            text = _live_text(self.service, self.token, doc) if self.live else next(x for i, _, x in FIXTURES[self.service] if i == doc)
-        yield doc, title, text, self.service, origin, updated
+        text = blocks = paragraphs = error = None
+        try:
+            if not self.listing:
+                if not self.token:
+                    text = next((x for i, _, x in FIXTURES[self.service] if i == doc), None)
+                    error = f"unknown document {doc}" if text is None else None
+                elif self.service == "notion":
+                    blocks = list(_notion_blocks(self.token, doc))
+                else:
+                    paragraphs = list(_paragraphs(self.token, doc))
+        except Exception as e:  # one document's failure is that document's answer
+            error = str(e)
+        yield doc, title or doc, text, self.service, origin, updated, blocks, paragraphs, error
 
 
 class NotesConnector(DataSource):
@@ -187,18 +218,20 @@ class NotesConnector(DataSource):
         return "notes_connector"
 
     def schema(self) -> str:
-        return "external_id string, title string, text string, kind string, origin string, updated_at string"
+        return f"external_id string, title string, text string, kind string, origin string, updated_at string, blocks array<{BLOCK}>, paragraphs array<{PARAGRAPH}>, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return ConnectorReader(dict(self.options))
 
 
 def connectors() -> list[dict]:
-    """The registry: id, and whether a token makes it live."""
-    return [{"id": s, "live": bool(os.environ.get(v))} for s, v in SERVICES.items()]
+    """The registry: id, name, description, whether a token makes it live, and the variable that would."""
+    return [{"id": s, "name": name, "description": about, "live": bool(os.environ.get(variable)), "requires": variable} for s, (variable, name, about) in SERVICES.items()]
 
 
-def read_connector(spark: SparkSession, service: str, ids: list[str] | None = None, listing: bool = False, live: bool = False) -> DataFrame:
+def read_connector(spark: SparkSession, service: str, ids: list[str] | None = None, listing: bool = False, live: bool | None = None) -> DataFrame:
+    """external_id, title, text, kind, origin, updated_at, error; live where the service's variable holds a token, unless ``live`` says otherwise."""
     spark.dataSource.register(NotesConnector)
-    reader = spark.read.format("notes_connector").options(service=service, list=str(listing).lower(), live=str(live).lower(), ids=",".join(ids or []))
-    return reader.load()
+    reader = spark.read.format("notes_connector").options(service=service, list=str(listing).lower(), live="auto" if live is None else str(live).lower(), ids=",".join(ids or []))
+    text = F.coalesce("text", F.when(F.col("blocks").isNotNull(), blocks_text(F.col("blocks"))), F.when(F.col("paragraphs").isNotNull(), paragraphs_text(F.col("paragraphs"))))
+    return reader.load().withColumn("text", text).drop("blocks", "paragraphs")

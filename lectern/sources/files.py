@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.text import file_title, is_supported, page_text, strip_html
+from lectern.sources.pdf import pdf_pages
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -32,15 +33,6 @@ def docx_html(data: bytes) -> str:
     return "".join(out)
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page; needs a PDF library, which is optional."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as missing:
-        raise RuntimeError("no PDF library is installed") from missing
-    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
-
-
 _PARSED = "struct<html:string,pages:array<string>,error:string>"
 
 
@@ -75,6 +67,6 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = parsed.select("name", F.when(F.col("p.pages").isNotNull(), page_text(F.col("p.pages"))).otherwise(strip_html(F.col("p.html"))).alias("text"), F.col("p.error").alias("error"))
     both = plain.unionByName(packed)
     none = F.lit(None).cast("string")
-    documents = both.filter("error is null").select(F.concat(F.lit("upload:"), "name").alias("external_id"), file_title(F.col("name")).alias("title"), "text", F.lit("upload").alias("kind"), none.alias("origin"), none.alias("updated_at"))
+    documents = both.filter("error is null").select(F.concat(F.lit("upload:"), "name").alias("external_id"), file_title(F.col("name")).alias("title"), "text", F.lit("upload").alias("kind"), F.col("name").alias("origin"), none.alias("updated_at"))
     failed = gated.filter("_error is not null").select("name", F.col("_error").alias("error")).unionByName(both.filter("error is not null").select("name", "error"))
     return documents, failed

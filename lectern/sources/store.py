@@ -16,7 +16,12 @@ SCHEMAS = {
 
 
 def list_documents(documents: DataFrame, owner: str) -> DataFrame:
-    return documents.filter(F.col("owner_id") == owner).orderBy(F.col("created_at").desc(), F.col("doc_seq"))
+    """The owner's documents, the newest first, else in the order of the store."""
+    return documents.filter(F.col("owner_id") == owner).orderBy(F.col("created_at").desc(), "doc_seq", "kind", "external_id")
+
+
+def list_concepts(concepts: DataFrame, owner: str) -> DataFrame:
+    return concepts.filter(F.col("owner_id") == owner)
 
 
 def get_document(documents: DataFrame, owner: str, doc_id: str) -> DataFrame:
