@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,9 +16,11 @@ from lectern.operators import concepts as C
 from lectern.operators import retrieve as R
 from lectern.operators import study as S
 from lectern.operators import taxonomy as X
-from lectern.operators.bm25 import bm25_scores, term_rows
+from lectern.operators.bm25 import bm25_scores, lengths, query_terms, term_counts, term_rows
 from lectern.operators.chunking import chunk_documents
-from lectern.plans.corpus import chunk_table, document_table, notes, stored_documents, table
+from lectern.operators.tables import checkpoint, small
+from lectern.plans.corpus import chunk_table, document_table, notes, stored_documents, structured, table
+from lectern.plans.ingest_queries import INGEST_QUERIES
 from lectern.sources import store
 
 #: Every query of a stated set: rows whose id is divisible by this, against all rows.
@@ -112,7 +115,8 @@ def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     e = V.embed_rows(table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
-    return e.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    values = e.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).filter("x <> 0")
+    return values.select("doc_id", long("bucket").alias("bucket"), F.round("x", 6).alias("value"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +135,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minmax_scale(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d).select("query_id", "seq", F.round(R.min_max("score"), 6).alias("scaled"))
+    return R.scale(_dense(spark, d), ["score"]).select("query_id", "seq", F.round("score", 6).alias("scaled"))
 
 
 def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -140,11 +144,12 @@ def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _label_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """name, embedding: the mean vector of each label."""
+    """name, embedding: the mean vector of each label, of unit length."""
     v = _vectors(spark, d).select("label", F.posexplode("e").alias("i", "x"))
     mean = v.groupBy("label", "i").agg(F.avg("x").alias("x"))
     name = F.concat(F.lit("Topic label "), F.col("label").cast("string"))
-    return mean.groupBy(name.alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    return mean.groupBy(name.alias("name")).agg(whole.alias("embedding")).withColumn("embedding", V.normalise(F.col("embedding")))
 
 
 def concept_channel(spark: SparkSession, d: str) -> DataFrame:
@@ -170,15 +175,15 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text")
     q = _questions(spark, d)
-    cand = docs.select("seq", F.size(T.tokenise(F.col("text"))).alias("len")).crossJoin(q.select("query_id"))
-    scored = bm25_scores(cand, term_rows(docs, "seq", F.col("text")), q).withColumn("score", F.round("lexical", 6))
+    counts = checkpoint(term_counts(docs, "seq", F.col("text"), query_terms(q)))
+    scored = bm25_scores(lengths(counts).crossJoin(small(q.select("query_id"))), counts, q).withColumn("score", F.round("lexical", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "seq"))
     return scored.withColumn("rank", long(rank)).filter(F.col("rank") <= fixed.TOP_K).select("query_id", "seq", "rank", "score")
 
 
-def _search(spark: SparkSession, d: str, queries: DataFrame, k: int) -> DataFrame:
+def _search(spark: SparkSession, d: str, queries: DataFrame, k: int, semantic: bool = False) -> DataFrame:
     vectors = queries.select(F.col("query_id").alias("vec_id")).join(_vectors(spark, d), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qv"))
-    return R.retrieve(chunk_table(spark, d), document_table(spark, d), _label_concepts(spark, d), queries, k, vectors)[0]
+    return R.retrieve(chunk_table(spark, d), document_table(spark, d), _label_concepts(spark, d), queries, k, vectors, semantic)[0]
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -187,6 +192,53 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "seq", F.col("document.title").alias("title"), F.round("score", 6).alias("score"), *parts)
 
 
+def semantic_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """With the weights of a trained embedder."""
+    r = _search(spark, d, _questions(spark, d), fixed.MAX_K, semantic=True)
+    return r.select("query_id", "seq", long("rank").alias("rank"), F.round("score", 6).alias("score"))
+
+
+#: Documents that ``search_meta`` and ``filter_candidates`` take away from, by source.
+ORPHANED = "src3"
+
+
+def filter_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What each kind of filter leaves of all chunks, those of one source having lost their documents."""
+    group = lambda owner, source: hashlib.sha1(f"{owner}:{source}".encode()).hexdigest()[:16]
+    asked = R.query_table(spark, [
+        (0, "sampling", R.Filters()),
+        (1, "sampling", R.Filters(weeks=["Week 4", "Topic 3"], week_numbers=[5])),
+        (2, "sampling", R.Filters(week_numbers=[5, 9])),
+        (3, "sampling", R.Filters(document_ids=[group("en", "src1"), group("de", "src2"), group("fr", ORPHANED)])),
+        (4, "sampling", R.Filters(concepts=["topic LABEL 3", "Topic label 7"])),
+        (5, "sampling", R.Filters(kinds=["gdocs"])),
+        (6, "lecture 5 sampling", R.Filters()),
+        (7, "lecture 5 sampling", R.Filters(weeks=["Topic 3"])),
+        (8, "unit 1 and w4", R.Filters(concepts=["topic label 1", "topic label 2"], kinds=["upload", "notion"])),
+    ])
+    chunks = chunk_table(spark, d).withColumn("len", F.lit(0))
+    documents = document_table(spark, d).filter(F.col("title") != ORPHANED)
+    found = R.candidates(chunks, documents, R.prepare_queries(asked).withColumn("qv", F.lit(None).cast("array<double>")))
+    return found.select("query_id", "seq")
+
+
+def search_meta(spark: SparkSession, d: str) -> DataFrame:
+    """What a search says of itself, asked in four ways: as it is, limited by label, naming a unit, and naming one against a given number.
+
+    Some notes have vectors of another width, so that queries that meet them find the index stale.
+    """
+    q = _questions(spark, d)
+    none, words = F.array().cast("array<string>"), lambda *w: F.array(*map(F.lit, w))
+    named = F.concat(F.lit("Week 4 "), "text")
+    ways = [(F.col("text"), none, F.array().cast("array<int>")), (F.col("text"), words("Topic 3"), words(4)), (named, none, F.array().cast("array<int>")), (named, none, words(3))]
+    asked = q.select("query_id", F.explode(F.array(*(F.struct(F.lit(i).alias("way"), t.alias("text"), w.alias("weeks"), n.alias("week_numbers")) for i, (t, w, n) in enumerate(ways)))).alias("w"))
+    asked = asked.select((F.col("query_id") * 10 + F.col("w.way")).alias("query_id"), F.col("query_id").alias("vec_id"), "w.text", "w.weeks", "w.week_numbers")
+    vectors = asked.select("query_id", "vec_id").join(_vectors(spark, d), "vec_id").select("query_id", F.col("e").alias("qv"))
+    chunks = chunk_table(spark, d).withColumn("embedding", F.when(F.col("seq") % 24 == 15, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    meta = R.retrieve(chunks, document_table(spark, d), _label_concepts(spark, d), asked.drop("vec_id"), fixed.TOP_K, vectors)[1]
+    return meta.select("query_id", "cleaned", joined("applied_weeks").alias("applied_weeks"), "stale_index", joined("matched_concepts").alias("matched"))
+
+
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """Limited to units 3, 7 and 12, and to two kinds of source."""
     q = _questions(spark, d).withColumns({"week_numbers": F.array(*map(F.lit, (3, 7, 12))), "kinds": F.array(F.lit("upload"), F.lit("notion"))})
@@ -197,7 +249,7 @@ def filtered_search(spark: SparkSession, d: str) -> DataFrame:
 def _mined(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
     drafts = n.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), "text", F.array(F.concat("title", F.lit(": "), F.initcap(F.col("source")), F.lit(" notes"))).alias("headings"))
-    return C.mine_concepts(drafts).join(n.withColumnRenamed("doc_id", "document_id"), "document_id")
+    return checkpoint(C.mine_concepts(drafts)).join(n.drop("text").withColumnRenamed("doc_id", "document_id"), "document_id")
 
 
 def concept_bigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +257,7 @@ def concept_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mined_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks, documents): notes as chunks of their source's document, with mined concepts."""
+    """(chunks, documents): notes as chunks of their source's document, with mined concepts, which are stored once."""
     m = _mined(spark, d)
     group = T.short_id(F.col("owner"), F.col("source"))
     chunks = m.select(
@@ -227,13 +279,16 @@ def unit_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def concept_rollup(spark: SparkSession, d: str) -> DataFrame:
     r = C.concept_rollup(_mined_chunks(spark, d)[0])
-    return r.select("document_id", joined(F.array_sort(F.transform("concepts", F.lower))).alias("concepts"))
+    card = X.capped(F.col("concepts"), 10)
+    return r.select("document_id", joined("concepts").alias("concepts"), joined(card["shown"]).alias("shown"), long(card["more"]).alias("more"))
 
 
 def taxonomy_units(spark: SparkSession, d: str) -> DataFrame:
     chunks, docs = _mined_chunks(spark, d)
     t = X.unit_facets(chunks, C.concept_index(chunks, docs))
-    return t.select("label", long("number").alias("number"), long("chunk_count").alias("chunk_count"), long("document_count").alias("document_count"), long(F.size("concepts")).alias("n_concepts"))
+    place = F.row_number().over(Window.orderBy(*U.unit_order()))  # there are as many units as schemes and numbers allow
+    head = joined(F.slice("concepts", 1, 5)).alias("first_concepts")
+    return t.select(long(place).alias("position"), "label", long("number").alias("number"), long("chunk_count").alias("chunk_count"), long("document_count").alias("document_count"), long(F.size("concepts")).alias("n_concepts"), head)
 
 
 def taxonomy_concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +296,26 @@ def taxonomy_concepts(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("name").agg(long(F.sum("chunk_count")).alias("chunk_count"), long(F.sum("document_count")).alias("document_count"))
 
 
+def _owner_facets(spark: SparkSession, d: str) -> DataFrame:
+    return X.concept_facets(store.list_concepts(C.concept_index(*_mined_chunks(spark, d)), "en"))
+
+
+def concept_top(spark: SparkSession, d: str) -> DataFrame:
+    """The 40 concepts that one owner's browser shows, in order."""
+    top = _owner_facets(spark, d).limit(40)
+    rank = F.row_number().over(Window.orderBy(F.col("chunk_count").desc(), F.collate("name", "UNICODE")))
+    return top.select(long(rank).alias("rank"), "name", long("chunk_count").alias("chunk_count"), long("document_count").alias("document_count"))
+
+
+def unit_sidebar(spark: SparkSession, d: str) -> DataFrame:
+    own = X.unit_concepts(_owner_facets(spark, d), "Week 4")
+    return own.select("name", long("chunk_count").alias("chunk_count"))
+
+
+def owner_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return store.list_concepts(C.concept_index(*_mined_chunks(spark, d)), "fr").select("id", "owner_id", "name")
+
+
 def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
     return X.corpus_totals(document_table(spark, d), notes(spark, d))
 
@@ -292,18 +367,30 @@ def study_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.key_points(_search(spark, d, _questions(spark, d), fixed.STUDY_K)).select("query_id", "key_point")
 
 
+def study_context(spark: SparkSession, d: str) -> DataFrame:
+    c = S.context(_search(spark, d, _questions(spark, d), fixed.STUDY_K))
+    return c.select("query_id", long(F.length("context")).alias("n_chars"), F.sha1("context").alias("context_sha1"))
+
+
+def study_sources(spark: SparkSession, d: str) -> DataFrame:
+    r = S.sources(_search(spark, d, _questions(spark, d), fixed.STUDY_K))
+    return r.select("query_id", long("rank").alias("rank"), "chunk_id", "document_title", "snippet")
+
+
 def chunk_notes(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk_documents(notes(spark, d), "doc_id")
+    """Notes with headings of every kind put in."""
+    c = chunk_documents(structured(spark, d), "doc_id")
     return c.select("doc_id", long("ordinal").alias("ordinal"), long(F.length("text")).alias("n_chars"), F.sha1("text").alias("text_sha1"), joined("headings").alias("headings"), F.col("week.label").alias("label"), F.col("week.confidence").alias("confidence"))
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     html_strip, raw_words, token_counts, text_summaries, sentence_split, unit_markers, canonical_scheme, query_intent, unit_asof, document_ids, owner_ids, upload_gate,
     fnv_hash, hashed_embedding, dense_topk, minmax_scale, diversity_topk, concept_channel, matched_concepts, bm25_topk, hybrid_fusion, filtered_search,
-    concept_bigrams, concept_index, unit_rollup, concept_rollup, taxonomy_units, taxonomy_concepts, corpus_totals,
-    owner_chunks, upsert_docs, upsert_chunks, delete_cascade, replace_concepts, study_cards, study_summary, chunk_notes,
+    semantic_fusion, filter_candidates, search_meta,
+    concept_bigrams, concept_index, unit_rollup, concept_rollup, taxonomy_units, taxonomy_concepts, corpus_totals, concept_top, unit_sidebar, owner_concepts,
+    owner_chunks, upsert_docs, upsert_chunks, delete_cascade, replace_concepts, study_cards, study_summary, study_context, study_sources, chunk_notes,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in (*QUERIES, *INGEST_QUERIES)}
