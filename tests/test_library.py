@@ -11,7 +11,7 @@ from lectern.functions import units as U
 from lectern.functions import vectors as V
 from lectern.operators.chunking import overlap, split_document
 from lectern.operators.providers import LanguageModel, LocalEmbedder, RemoteEmbedder, embedder
-from lectern.operators.retrieve import clamp_k, fuse, min_max
+from lectern.operators.retrieve import clamp_k, fuse, scale
 from lectern.operators.study import StudyRequest, check_mode, scope_of
 from lectern.sources.files import docx_html, parse_files
 
@@ -81,10 +81,10 @@ def test_chunks():
 
 def test_min_max_and_fusion(spark):
     rows = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 3.0), (2, 3.0), (3, 0.0)], "query_id int, v double")
-    assert sorted(r["x"] for r in rows.select(min_max("v").alias("x")).collect()) == [0.0, 0.0, 1.0, 1.0, 1.0]
+    assert sorted(r["v"] for r in scale(rows, ["v"]).collect()) == [0.0, 0.0, 1.0, 1.0, 1.0]
     scores = spark.createDataFrame([(1, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 0.0)], "query_id int, dense double, lexical double, concept double")
     assert sorted(r["score"] for r in fuse(scores, {"dense": 0.35, "lexical": 0.5, "concept": 0.15}).collect()) == [0.35, 0.5]
-    assert (clamp_k(None), clamp_k(99), clamp_k(-1)) == (8, 30, 1)
+    assert (clamp_k(None), clamp_k(99), clamp_k(-1), clamp_k(0)) == (8, 30, 1, 1)
 
 
 def test_study_requests():
