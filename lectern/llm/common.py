@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.tables import checkpoint, remove, shared_folder  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits in one bitmap of bitmap_construct_agg.
 _CHUNK = 32768
@@ -19,33 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all machines share.
-
-    Only where that is unset one is chosen here: a temporary one for a local
-    master, else one beside the warehouse.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if not own and sc.master.startswith("local") and "cluster" not in sc.master:
-            own = tempfile.mkdtemp(prefix="lectern-checkpoints-")
-        sc.setCheckpointDir(own or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-    return sc.getCheckpointDir()
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever store it is."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A prefix that no column of ``df`` starts with, in any case."""
     while any(c.lower().startswith(stem) for c in df.columns):
