@@ -1,0 +1,48 @@
+"""The operators that SQL can express against their SQL, on tables with planted cases that the driver's tables lack."""
+
+import hashlib
+import random
+
+import pandas as pd
+import pytest
+from sql_compare import compare
+from test_operators import WORDS
+
+from lectern.llm.queries import oracle_sql, queries
+
+HEX = hashlib.sha1(b"x").hexdigest()
+PERSONAL = [
+    "IBAN GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L", "DE89370400440532013000 and NO9386011117947, GB83 WEST 1234 5698 7654 32", "call 555-123-4567 or (555) 123-4567", "phone (555)1234567 555.123.4567x 1555-123-4567",
+    "order 555-123-4567 555-123-4567", "mobile +555-123-4567 555 123 45678 fax 555 123 4567", f'token = "{HEX}" {HEX}', f"commit {HEX}", f"api key {HEX}{HEX[:8]} é{HEX}é", f"secret {'a1' * 20}", f"password x{HEX}",
+    "4111 1111 1111 1111, a@b.c%d@e.f, +1 (555) 010-9999, 1.2.3.4.5.6.7.8", None, "", "tel 555-123-4567\n555-123-4567 555-123-4567",
+]
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    rng = random.Random(6)
+    out = tmp_path_factory.mktemp("sql")
+    texts = PERSONAL + [" ".join(rng.choice([*WORDS, "the", "der", "de", "####", "A."]) for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    texts += [t.upper() if t else t for t in texts[20:30]] + texts[40:45]
+    docs = pd.DataFrame([(i, t, rng.choice(["en", "de", "fr", "xx", None]), "s", 0) for i, t in enumerate(texts)], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    docs.to_parquet(f"{out}/documents.parquet")
+    pd.DataFrame([(i, i % 2, 0) for i in range(len(texts)) if i % 3], columns=["doc_id", "quality", "toxic"]).to_parquet(f"{out}/labels.parquet")
+    hosts = [f"h{i}.{d}" for i in range(12) for d in ("org", "de")] + ["example.com", "a.example.com", "shop.net"]
+    links = lambda: "".join(f'<a href="{rng.choice(["http:", "https:", ""])}//{rng.choice(hosts)}/x">' for _ in range(rng.randint(0, 4)))
+    pages = [(i, f"http://{rng.choice(hosts)}{rng.choice(['/en/a', '/de/', '/es/x?q', '/fr/#f', ''])}", rng.choice([None, "", links(), links()])) for i in range(150)] + [(150, None, links()), (151, "no host", links())]
+    pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(f"{out}/pages.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_its_sql(spark, folder, name):
+    mine, theirs = compare(spark, folder, queries()[name], oracle_sql()[name])
+    assert mine == theirs and mine
+
+
+def test_the_planted_cases_are_found(spark, folder):
+    found = {r["doc_id"]: r for r in queries()["op3_pii"](spark, folder).collect()}
+    assert [found[i]["n_added"] for i in range(len(PERSONAL))] == [1, 2, 2, 1, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0, 3]
+    judged = queries()["op1_url_trust"](spark, folder).collect()
+    # links, not only rules, decide here
+    assert {r["verdict"] for r in judged if r["rule"] is None and r["trust"] + r["distrust"] > 0} == {"allow", "block"}
