@@ -103,6 +103,34 @@ def _sign_in() -> str:
       SELECT c_custkey, id, name, email, url_encode('{{"id":"' || id || '","email":"' || email || '","name":"' || name || '"}}') AS cookie, {back("7", "id")} AS back_id, {back("Ann Lee", "name")} AS back_name, {back("ann_lee@x.org", "email")} AS back_email FROM u"""
 
 
+#: What the steps of a session come to, by reading the sample notes.
+_REQUESTS = [
+    ("login without an address", 400, "An e-mail address is needed."),
+    ("sources without a session", 401, "Not signed in"),
+    ("sources with a broken session", 401, "Not signed in"),
+    ("login", 200, "Jo Doe"),
+    ("listing", 200, "notion-exam|notion-graphs|notion-trees"),
+    ("unknown connector", 404, "Unknown connector"),
+    ("sync", 200, "2, nowhere: unknown document nowhere"),
+    ("sync all", 200, "3, 0"),
+    ("sources", 200, "3, 7, local, False"),
+    ("sources of another", 200, "0"),
+    ("taxonomy", 200, "Week 1|Week 2|Week 3|Unplaced, 3, 7"),
+    ("empty search", 400, "query is required"),
+    ("search", 200, "Trees, Week 3, Week 3, 1, False"),
+    ("search in a unit", 200, "['unit 2'], Week 2"),
+    ("summary", 200, "extractive, greedy choice, Unplaced, 2"),
+    ("quiz", 200, "extractive, Week 3, True, 2"),
+    ("study of nothing", 200, "True"),
+    ("written summary", 200, "model, Written., a|b"),
+    ("quiz that the model fails", 200, "extractive"),
+    ("delete what is not there", 404, "No such document"),
+    ("delete", 200, "True"),
+    ("taxonomy afterwards", 200, "Week 1|Week 2|Unplaced, 2"),
+    ("logout", 200, "True"),
+]
+
+
 def oracle_sql() -> dict[str, str]:
     tail = f"right(text, {fixed.CHUNK_OVERLAP})"
     fixtures = [(i, t, s, x) for s, rows in FIXTURES.items() for i, t, x in rows]
@@ -139,4 +167,5 @@ def oracle_sql() -> dict[str, str]:
         ], "environment, provider, model, dimensions, semantic").replace("SELECT *", "SELECT environment::BIGINT AS environment, provider, model, dimensions::BIGINT AS dimensions, semantic"),
         "remote_embedding": "SELECT doc_id, round(length(text) / n, 6) AS x, round(100 / n, 6) AS y, 0.0::DOUBLE AS z FROM (SELECT *, sqrt(length(text)::DOUBLE * length(text) + 10000) AS n FROM documents)",
         "sign_in": _sign_in(),
+        "requests": _values([(i, *r) for i, r in enumerate(_REQUESTS)], "step, request, status, answer").replace("SELECT *", "SELECT step::BIGINT AS step, request, status::BIGINT AS status, answer"),
     }

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.api import Answer, Api
 from lectern.functions import text as T
 from lectern.functions import units as U
 from lectern.library import ingest
@@ -305,8 +306,54 @@ def sign_in(spark: SparkSession, d: str) -> DataFrame:
     return back.select("c_custkey", F.col("u.id").alias("id"), F.col("u.name").alias("name"), F.col("u.email").alias("email"), "cookie", F.col("b.id").alias("back_id"), F.col("b.name").alias("back_name"), F.col("b.email").alias("back_email"))
 
 
+def _writer(prompt: str) -> str:
+    """A model for the test, of summaries only."""
+    if prompt.startswith("mode: summary"):
+        return json.dumps({"summary": "Written.", "key_points": ["a", "b"]})
+    raise RuntimeError("model failed")
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """A session of requests over a library of the sample notes: step, status, and what the answer says."""
+    root = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    api, written = Api(spark, root), Api(spark, root, model=P.LanguageModel(_writer))
+    steps: list[tuple[str, int, str]] = []
+
+    def step(name: str, answer: Answer, tell: Callable[[dict], object]) -> Answer:
+        steps.append((name, answer.status, str(tell(answer.body)) if answer.status == 200 else answer.body["error"]))
+        return answer
+
+    labels = lambda rows: "|".join(r["label"] for r in rows)
+    step("login without an address", api.login("nobody"), str)
+    step("sources without a session", api.sources(None), str)
+    step("sources with a broken session", api.sources("%7B%22id"), str)
+    me = step("login", api.login(" jo.doe@example.org "), lambda b: b["user"]["name"]).cookie
+    step("listing", api.connector(me, "notion"), lambda b: "|".join(sorted(x["external_id"] for x in b["documents"])))
+    step("unknown connector", api.connector(me, "other"), str)
+    step("sync", api.sync(me, "notion", CREATED, ["notion-trees", "notion-exam", "nowhere"]), lambda b: f"{len(b['ingested'])}, {b['failed'][0]['name']}: {b['failed'][0]['reason']}")
+    step("sync all", api.sync(me, "notion", CREATED), lambda b: f"{len(b['ingested'])}, {len(b['failed'])}")
+    found = step("sources", api.sources(me), lambda b: f"{len(b['documents'])}, {b['totals']['passages']}, {b['capabilities']['embedding_provider']}, {b['capabilities']['llm']}")
+    step("sources of another", api.sources(api.login("other@example.org").cookie), lambda b: len(b["documents"]))
+    step("taxonomy", api.taxonomy(me), lambda b: f"{labels(b['weeks'])}, {b['document_count']}, {b['chunk_count']}")
+    step("empty search", api.search(me, {"query": "  "}), str)
+    step("search", api.search(me, {"query": "colouring and rotation", "top_k": 1}), lambda b: f"{b['results'][0]['document']['title']}, {b['results'][0]['week']['label']}, {len(b['results'])}, {b['stale_index']}")
+    step("search in a unit", api.search(me, {"query": "shortest paths in week 2"}), lambda b: f"{b['applied_weeks']}, {labels(x['week'] for x in b['results'])}")
+    step("summary", api.study(me, {"query": "greedy choice", "filters": {"kinds": ["notion"], "weeks": ["Unplaced"]}}), lambda b: f"{b['generated_by']}, {b['scope']}, {len(b['key_points'])}")
+    step("quiz", api.study(me, {"mode": "quiz", "filters": {"weeks": ["Week 3"]}}), lambda b: f"{b['generated_by']}, {b['scope']}, {b['summary'] == S.QUIZ_NOTE}, {len(b['flashcards'])}")
+    step("study of nothing", api.study(me, {"filters": {"weeks": ["Week 40"]}}), lambda b: b["summary"] == S.EMPTY_SUMMARY)
+    step("written summary", written.study(me, {"query": "graphs"}), lambda b: f"{b['generated_by']}, {b['summary']}, {'|'.join(b['key_points'])}")
+    step("quiz that the model fails", written.study(me, {"mode": "quiz", "query": "graphs"}), lambda b: b["generated_by"])
+    trees = next(x["id"] for x in found.body["documents"] if x["title"] == "Trees, Week 3")
+    step("delete what is not there", api.delete(me, "nothing"), str)
+    step("delete", api.delete(me, trees), lambda b: b["ok"])
+    step("taxonomy afterwards", api.taxonomy(me), lambda b: f"{labels(b['weeks'])}, {b['document_count']}")
+    step("logout", api.logout(), lambda b: b["ok"])
+    remove(spark, root)
+    return spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step bigint, request string, status bigint, answer string")
+
+
 INGEST_QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     upload_parse, connector_fetch, connector_listing, connector_sync, block_walk, docs_paragraphs,
     newest_documents, point_lookup, reset_owner, store_snapshot, library_totals, ingest_documents, model_enrichment, embedding_texts,
-    line_shapes, overlap_tails, clean_newlines, facet_toggle, study_scopes, clamped_k, provider_choice, remote_embedding, sign_in,
+    line_shapes, overlap_tails, clean_newlines, facet_toggle, study_scopes, clamped_k, provider_choice, remote_embedding, sign_in, requests,
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lectern.functions import fixed
 from lectern.plans.corpus import NOTES_SQL, STRUCTURED_SQL
-from lectern.plans.queries import EVERY, ORPHANED
+from lectern.plans.queries import DELETED, EVERY, ORPHANED
 
 
 def _list(words: list[str]) -> str:
@@ -164,20 +164,20 @@ def _hybrid(where: str, k: int, weights: dict[str, float] = fixed.LOCAL_WEIGHTS,
   {name} AS (SELECT * FROM (SELECT *, f / (1 + {fixed.DIVERSITY} * k) AS score, row_number() OVER (PARTITION BY query_id ORDER BY f / (1 + {fixed.DIVERSITY} * k) DESC, f DESC, seq) AS rank FROM nth) WHERE rank <= {k})"""
 
 
-def _mined() -> str:
+def _mined(where: str = "true") -> str:
     ok = lambda w: f"length({w}) >= 4 AND NOT list_contains({STOP}, lower({w})) AND NOT list_contains({CONCEPT_STOP}, lower({w})) AND NOT (ends_with(lower({w}), 'ly') AND length({w}) > 5)"
     heading = title_case("upper(left(source, 1)) || substr(source, 2) || ' notes'")
     return f"""{NOTES_SQL},
   sw AS (SELECT doc_id, regexp_extract_all(text, {q(fixed.SURFACE_WORD)}) AS w FROM notes),
   pr AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM sw)),
   cnt AS (SELECT doc_id, lower(a || ' ' || b) AS pair, count(*) AS n, arg_min(a || ' ' || b, i) AS surface FROM pr WHERE {ok("a")} AND {ok("b")} GROUP BY ALL),
-  head AS (SELECT doc_id, {heading} AS h FROM notes),
-  best AS (SELECT doc_id, arg_max(surface, (n, -r)) AS surface FROM (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id ORDER BY n DESC, pair) AS r FROM cnt c JOIN head USING (doc_id) WHERE n >= 2 AND NOT contains(lower(h), string_split(pair, ' ')[1])) WHERE r = 1 GROUP BY doc_id),
-  mined AS (SELECT n.*, {_GROUP} AS document_id, CASE WHEN surface IS NULL THEN [h] ELSE [h, {title_case("surface")}] END AS concepts FROM notes n JOIN head USING (doc_id) LEFT JOIN best USING (doc_id))"""
+  head AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 1 THEN {heading} END AS h FROM notes),
+  best AS (SELECT doc_id, list({title_case("surface")} ORDER BY r) AS pairs FROM (SELECT c.*, h, row_number() OVER (PARTITION BY c.doc_id ORDER BY n DESC, pair) AS r FROM cnt c JOIN head USING (doc_id) WHERE n >= 2 AND NOT contains(lower(coalesce(h, '')), string_split(pair, ' ')[1])) WHERE r <= CASE WHEN h IS NULL THEN 2 ELSE 1 END GROUP BY doc_id),
+  mined AS (SELECT n.*, {_GROUP} AS document_id, list_concat(CASE WHEN h IS NULL THEN [] ELSE [h] END, coalesce(pairs, [])) AS concepts FROM notes n JOIN head USING (doc_id) LEFT JOIN best USING (doc_id) WHERE {where})"""
 
 
-def _index() -> str:
-    return f"""{_mined()},
+def _index(where: str = "true") -> str:
+    return f"""{_mined(where)},
   each AS (SELECT owner, doc_id, document_id, title, source, unnest(concepts) AS concept, generate_subscripts(concepts, 1) AS pos FROM mined),
   keyed AS (SELECT *, {normal("concept")} AS key FROM each),
   ctx AS (SELECT owner, key, doc_id, pos, source || ': ' || title AS c, row_number() OVER (PARTITION BY owner, key ORDER BY doc_id, pos) AS r FROM keyed WHERE key <> ''),
@@ -343,10 +343,11 @@ def oracle_sql() -> dict[str, str]:
         "owner_chunks": f"WITH {_batch()} SELECT id AS document_id, doc_seq AS doc_id, kind FROM docs WHERE owner_id = 'de'",
         "upsert_docs": f"WITH {_batch()} SELECT * FROM kept UNION ALL SELECT id, owner_id, external_id, kind, title, t + doc_seq FROM again, top",
         "upsert_chunks": f"WITH {_batch()} SELECT id || ':0' AS id, id AS document_id, title FROM (SELECT id, title FROM kept UNION ALL SELECT id, title FROM again)",
-        "delete_cascade": f"""WITH {index}, gone AS (SELECT DISTINCT {_GROUP} AS document_id FROM notes WHERE source IN ('src1', 'src7', 'src12')),
+        "delete_cascade": f"""WITH {index}, gone AS (SELECT DISTINCT {_GROUP} AS document_id FROM notes WHERE source IN {DELETED}),
           lost AS (SELECT list(document_id) AS g FROM gone),
           cut AS (SELECT id, list_filter(chunk_ids, lambda c: NOT list_contains(g, string_split(c, ':')[1])) AS c, list_filter(document_ids, lambda x: NOT list_contains(g, x)) AS d FROM idx, lost)
           SELECT id, array_to_string(c, '|') AS chunk_ids, array_to_string(d, '|') AS document_ids FROM cut WHERE len(d) > 0""",
+        "delete_rebuild": f"""WITH {_index(f"source NOT IN {DELETED}")} SELECT id, name, trim(name || '. Appears in: ' || array_to_string(ds, '; ')) AS description, array_to_string(chunk_ids, '|') AS chunk_ids FROM idx JOIN first_ ON first_.owner = owner_id AND first_.key = idx.key""",
         "replace_concepts": f"WITH {index} SELECT id, owner_id, CASE WHEN owner_id = 'fr' THEN upper(name) ELSE name END AS name FROM idx",
         "study_cards": f"WITH {_hybrid('true', fixed.CARDS)} SELECT query_id, 'What do your notes say about ' || coalesce('Topic label ' || label::VARCHAR, title) || '?' AS front, {lead('text')} AS back, coalesce('Topic label ' || label::VARCHAR, title) AS concept FROM ranked",
         "study_summary": f"WITH {_hybrid('true', fixed.KEY_POINTS)} SELECT query_id, {lead('text')} AS key_point FROM ranked",

@@ -247,8 +247,10 @@ def filtered_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mined(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with their concepts; every fourth has no heading, and so two pairs."""
     n = notes(spark, d)
-    drafts = n.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), "text", F.array(F.concat("title", F.lit(": "), F.initcap(F.col("source")), F.lit(" notes"))).alias("headings"))
+    heading = F.array(F.concat("title", F.lit(": "), F.initcap(F.col("source")), F.lit(" notes")))
+    drafts = n.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), "text", F.when(F.col("doc_id") % 4 == 1, F.array().cast("array<string>")).otherwise(heading).alias("headings"))
     return checkpoint(C.mine_concepts(drafts)).join(n.drop("text").withColumnRenamed("doc_id", "document_id"), "document_id")
 
 
@@ -344,11 +346,24 @@ def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(*_batch(spark, d))[1]
 
 
+#: Sources whose documents are deleted.
+DELETED = ("src1", "src7", "src12")
+
+
+def delete_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The concept index, built anew from what the deletion of three sources leaves."""
+    chunks, docs = _mined_chunks(spark, d)
+    gone = docs.filter(F.col("title").isin(*DELETED)).select("owner_id", "id")
+    left, chunks_left, _ = store.delete_documents(docs, chunks, C.concept_index(chunks, docs), gone)
+    index = C.concept_index(chunks_left, left)
+    return index.select("id", "name", "description", joined("chunk_ids").alias("chunk_ids"))
+
+
 def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     """What concepts keep when the documents of three sources go."""
     chunks, docs = _mined_chunks(spark, d)
     index = C.concept_index(chunks, docs)
-    gone = docs.filter(F.col("title").isin("src1", "src7", "src12")).select("owner_id", "id")
+    gone = docs.filter(F.col("title").isin(*DELETED)).select("owner_id", "id")
     _, _, left = store.delete_documents(docs, chunks, index, gone)
     return left.select("id", joined("chunk_ids").alias("chunk_ids"), joined("document_ids").alias("document_ids"))
 
@@ -388,7 +403,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     fnv_hash, hashed_embedding, dense_topk, minmax_scale, diversity_topk, concept_channel, matched_concepts, bm25_topk, hybrid_fusion, filtered_search,
     semantic_fusion, filter_candidates, search_meta,
     concept_bigrams, concept_index, unit_rollup, concept_rollup, taxonomy_units, taxonomy_concepts, corpus_totals, concept_top, unit_sidebar, owner_concepts,
-    owner_chunks, upsert_docs, upsert_chunks, delete_cascade, replace_concepts, study_cards, study_summary, study_context, study_sources, chunk_notes,
+    owner_chunks, upsert_docs, upsert_chunks, delete_cascade, delete_rebuild, replace_concepts, study_cards, study_summary, study_context, study_sources, chunk_notes,
 )
 
 
