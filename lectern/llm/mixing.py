@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.arrow import give_back
 from lectern.llm.common import checkpoint
-from lectern.llm.sparse_text import ROWS_PER_CLASS, Lookup, apply, choose, counted, fit_softmax, sample, style, words
+from lectern.llm.sparse_text import ROWS_PER_CLASS, Lookup, all_forms, apply, choose, fit_softmax, holders, sample, style, words
 
 #: Domains, in the order of the classes below, and the share of tokens that each is to have. By soft membership every
 #: document counts a little for each domain, so no mix can have less of a domain than the smallest posterior says.
@@ -28,16 +30,23 @@ class DomainModel:
     """A fitted classifier: weights of words and style marks for each domain."""
 
     def __init__(self, labelled: list[tuple[str, int]], prior: np.ndarray | None = None):
-        counts = []
-        for text, _ in labelled:
+        def parts(text: str) -> tuple[list[str], list[str]]:
             found = words(text)
-            counts.append(counted(found) + Counter(style(text, found)))
+            return found, style(text, found)
+
         y = np.array([k for _, k in labelled], dtype=int)
         n = np.bincount(y, minlength=len(DOMAINS)) if len(y) else np.zeros(len(DOMAINS))
         self.weights: dict[str, tuple[float, ...]] = {}
         self.bias = [0.0] * len(DOMAINS)
         if (n > 0).sum() > 1:
-            index = {w: i for i, w in enumerate(choose(counts, y, list(range(len(DOMAINS)))))}
+            held = holders((chain(all_forms(f), marks) for f, marks in (parts(t) for t, _ in labelled)), y, len(DOMAINS))
+            chosen = choose(held, n, list(range(len(DOMAINS))))
+            del held
+            index, known = {w: i for i, w in enumerate(chosen)}, Lookup(frozenset(chosen))
+            counts = []
+            for text, _ in labelled:
+                found, marks = parts(text)
+                counts.append(known.of(found) + Counter(m for m in marks if m in index))
             w, b = fit_softmax(counts, y, index, len(DOMAINS))
             self.weights = {k: tuple(float(x) for x in w[:, i]) for k, i in index.items()}
             # the sample holds equally many of each class; the shares among all labels go back into the biases
@@ -46,6 +55,7 @@ class DomainModel:
         elif n.sum():
             self.bias = [0.0 if k else -30.0 for k in n > 0]
         self.known = Lookup(self.weights)
+        give_back()
 
     def score(self, text: str, found: list[str]) -> tuple[float, ...]:
         weights = self.weights

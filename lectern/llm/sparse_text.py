@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ SIGNIFICANCE = 1e-4
 PRIOR = 0.1
 #: Registers of the signatures that tell near copies in the sample, and registers in a band of them.
 COPY_REGISTERS, COPY_ROWS = 40, 5
+#: Rows that are signed at once.
+COPY_BATCH = 200
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SYMBOLS = "#*$%&|<>"
 
@@ -50,8 +52,8 @@ class Lookup(Memory):
         return Counter([f for fs in map(get, found) if fs for f in fs])
 
 
-def counted(found: list[str]) -> Counter:
-    return Counter(f for w in found for f in forms(w))
+def all_forms(found: list[str]) -> Iterator[str]:
+    return (f for w in found for f in forms(w))
 
 
 def style(text: str, found: list[str]) -> list[str]:
@@ -96,14 +98,16 @@ def sample(docs: DataFrame, labels: DataFrame, classes: Column, id_col: str = "d
 
 def once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """``rows`` with one of each group of near copies, the first: what copies share would pass for what a class shares."""
-    signed = signatures(*bags([word_hashes(t) for t, _ in rows]), len(rows), registers=COPY_REGISTERS)
     seen: set[tuple[int, bytes]] = set()
     out = []
-    for row, registers in zip(rows, signed, strict=True):
-        keys = {(k, registers[k : k + COPY_ROWS].tobytes()) for k in range(0, COPY_REGISTERS, COPY_ROWS)}
-        if not keys & seen:
-            out.append(row)
-        seen |= keys
+    for start in range(0, len(rows), COPY_BATCH):
+        part = rows[start : start + COPY_BATCH]
+        signed = signatures(*bags([word_hashes(t) for t, _ in part]), len(part), registers=COPY_REGISTERS)
+        for row, registers in zip(part, signed, strict=True):
+            keys = {(k, registers[k : k + COPY_ROWS].tobytes()) for k in range(0, COPY_REGISTERS, COPY_ROWS)}
+            if not keys & seen:
+                out.append(row)
+            seen |= keys
     return out
 
 
@@ -123,21 +127,29 @@ def chance(c: int, of: int, share: float) -> float:
     return -of * (rate * np.log(rate / share) + rest)
 
 
-def choose(counts: list[Counter], y: np.ndarray, classes: list[int], features: int = FEATURES) -> list[str]:
+def holders(features: Iterable[Iterable[str]], classes: Iterable[int], n: int) -> list[Counter]:
+    """For each of n classes, how many documents hold each feature, from the features of one document after the other: none is kept."""
+    out = [Counter() for _ in range(n)]
+    for held, y in zip(features, classes, strict=True):
+        out[y].update(set(held))
+    return out
+
+
+def choose(held: list[Counter], sizes: np.ndarray, classes: list[int], features: int = FEATURES) -> list[str]:
     """The features with ``LEAST_ODDS`` or more smoothed log odds for one of ``classes`` against the rest that are unlikely by chance; the best by odds times the root of their documents.
 
-    Features that say little are left out: in long texts their many small weights would outweigh the few that count.
+    ``held`` and ``sizes``: documents of each class that hold a feature, and all. Features that say little are left out: in long texts their many small weights would outweigh the few that count.
     What counts as chance follows the sizes of the classes (Chernoff's bound of a binomial tail).
     """
-    total = Counter(w for x in counts for w in x)
     scores: dict[str, float] = {}
     for k in classes:
-        inside, n = Counter(w for x, v in zip(counts, y, strict=True) if v == k for w in x), int((y == k).sum())
-        out = len(y) - n
-        for w, c in inside.items():
+        n, out = int(sizes[k]), int(sizes.sum() - sizes[k])
+        others = [h for j, h in enumerate(held) if j != k]
+        for w, c in held[k].items():
             if c >= MIN_DOCS:
-                odds = np.log((c + 0.5) / (n + 1)) - np.log((total[w] - c + 0.5) / (out + 1))
-                if odds >= LEAST_ODDS and chance(c, total[w], n / len(y)) <= np.log(SIGNIFICANCE):
+                rest = sum(h[w] for h in others)
+                odds = np.log((c + 0.5) / (n + 1)) - np.log((rest + 0.5) / (out + 1))
+                if odds >= LEAST_ODDS and chance(c, c + rest, n / (n + out)) <= np.log(SIGNIFICANCE):
                     scores[w] = max(scores.get(w, 0.0), odds * np.sqrt(c))
     return sorted(sorted(scores, key=lambda w: (-scores[w], w))[:features])
 

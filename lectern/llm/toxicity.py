@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.sparse_text import ROWS_PER_CLASS, SIGNIFICANCE, Lookup, apply, chance, choose, counted, fit_ordinal, sample, words
+from lectern.llm.arrow import give_back
+from lectern.llm.sparse_text import ROWS_PER_CLASS, SIGNIFICANCE, Lookup, all_forms, apply, chance, choose, fit_ordinal, holders, sample, words
 
 #: Grades 0 (clean) to 3; a document is rejected if it has grade 1 or more with at least this probability.
 GRADES, REJECT = 4, 0.35
@@ -17,40 +18,42 @@ GRADES, REJECT = 4, 0.35
 EVIDENCE_ODDS, EVIDENCE_DOCS = 2.0, 3
 
 
-def grades_of(counts: list[Counter], toxic: np.ndarray) -> np.ndarray:
+def grades_of(texts: list[str], toxic: np.ndarray, held: list[list[Counter]]) -> np.ndarray:
     """Severity of each labelled document: 0 if not toxic, else 1 to 3 by thirds of how many evidence words it holds.
 
     The labels are yes or no; how severe a toxic text is, is read from the words
     that set toxic documents apart. Those are found in the other half of the sample, so no document's grade comes from words that it made evidence itself.
+    ``held``: for each half, how many documents of either class hold each feature.
     """
-    half = np.arange(len(counts)) % 2
-    held = np.zeros(len(counts))
+    half = np.arange(len(texts)) % 2
+    count = np.zeros(len(texts))
     for side in (0, 1):
-        inside = Counter(w for x, t, h in zip(counts, toxic, half, strict=True) if t and h != side for w in x)
-        outside = Counter(w for x, t, h in zip(counts, toxic, half, strict=True) if not t and h != side for w in x)
+        outside, inside = held[1 - side]
         n, m = int(toxic[half != side].sum()), int((1 - toxic[half != side]).sum())
         strong = {w for w, c in inside.items() if c >= EVIDENCE_DOCS and math.log((c + 0.5) / (n + 1)) - math.log((outside[w] + 0.5) / (m + 1)) >= EVIDENCE_ODDS and chance(c, c + outside[w], n / (n + m)) <= math.log(SIGNIFICANCE)}
-        for i in np.flatnonzero(half == side):
-            held[i] = sum(c for w, c in counts[i].items() if w in strong)
-    cuts = np.quantile(held[toxic == 1], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
-    return np.where(toxic == 1, 1 + (held > cuts[0]).astype(int) + (held > cuts[1]).astype(int), 0)
+        for i in np.flatnonzero((half == side) & (toxic == 1)):
+            count[i] = sum(f in strong for f in all_forms(words(texts[i])))
+    cuts = np.quantile(count[toxic == 1], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
+    return np.where(toxic == 1, 1 + (count > cuts[0]).astype(int) + (count > cuts[1]).astype(int), 0)
 
 
 class Severity:
     """A fitted model: weights of words, thresholds of grades."""
 
     def __init__(self, labelled: list[tuple[str, int]]):
-        counts = [counted(words(t)) for t, _ in labelled]
-        toxic = np.array([y for _, y in labelled], dtype=int)
+        texts, toxic = [t for t, _ in labelled], np.array([y for _, y in labelled], dtype=int)
         self.weights: dict[str, float] = {}
         self.cuts: list[float] = []
         if 0 < toxic.sum() < len(toxic):
-            y = grades_of(counts, toxic)
-            index = {w: i for i, w in enumerate(choose(counts, (y > 0).astype(int), [1]))}
-            w, cuts = fit_ordinal(counts, y, index, GRADES)
+            halves = [holders((all_forms(words(t)) for t in texts[k::2]), toxic[k::2], 2) for k in (0, 1)]
+            y = grades_of(texts, toxic, halves)
+            chosen = choose([halves[0][k] + halves[1][k] for k in (0, 1)], np.bincount(toxic, minlength=2), [1])
+            index, known = {w: i for i, w in enumerate(chosen)}, Lookup(frozenset(chosen))
+            w, cuts = fit_ordinal([known.of(words(t)) for t in texts], y, index, GRADES)
             self.weights = {k: float(w[i]) for k, i in index.items()}
             self.cuts = [float(c) for c in cuts]
         self.known = Lookup(self.weights)
+        give_back()
 
     def score(self, _: str, found: list[str]) -> tuple[float, ...]:
         """P(grade >= 1), P(grade >= 2), ... ; zeros from a model that had nothing to learn from."""
