@@ -39,7 +39,9 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        named = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = np.full(max(named) + 1, None, dtype=object)
+        self.tokens[list(named)] = list(named.values())
         self.ranks: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
@@ -109,14 +111,22 @@ class WordBpe:
 
     def encode_units(self, units: str) -> list[int]:
         """Ids of one word: the last token of each prefix, then back along them."""
-        last: list[int] = [-1] * (len(units) + 1)
+        none, start = -1, -2
+        last: list[int] = [none] * (len(units) + 1)
+        last[0] = start
         back = [0] * (len(units) + 1)
-        fits = self.fits
+        known, fits = self.pairs, self.fits
         for end, (length, token) in self.automaton.iter(units):
             i = end + 1
-            j = i - length
-            if last[i] < 0 and (j == 0 or (last[j] >= 0 and fits(last[j], token))):
-                last[i], back[i] = token, j
+            if last[i] == none:
+                j = i - length
+                before = last[j]
+                if before >= 0:
+                    found = known.get(before << 32 | token)
+                    if found or (found is None and fits(before, token)):
+                        last[i], back[i] = token, j
+                elif before == start:
+                    last[i] = token
         ids, i = [], len(units)
         while i:
             if last[i] < 0:
@@ -148,9 +158,9 @@ class WordBpe:
             out = self.plain(text)
         return np.frombuffer(b"".join(out), dtype="<i4")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """What the file asks for, which names no decoder: tokens with a space between, special ones too."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(self.tokens[ids].tolist())
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -182,7 +192,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype="<i4")
             columns = [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))]
             if decode:
-                columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], type=pa.string()))
+                columns.append(pa.array([bpe.decode(x) for x in ids], type=pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     schema = "_id bigint, ids array<int>" + ", decoded string" * decode
