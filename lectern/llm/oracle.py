@@ -67,7 +67,12 @@ def op3() -> str:
         "secret": "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Fa-f]') AND len(list_distinct(string_split(lower(v), ''))) >= 8",
     }
     # around whole ASCII words the boundary of this dialect is the look-around of the other
-    plain = _PLAIN | {"iban": pii.PATTERNS["iban"].replace(pii.START, r"\b").replace(pii.END, r"\b"), "secret": pii.PATTERNS["secret"].replace(pii.START, r"\b").replace(pii.END, r"\b")}
+    plain = _PLAIN | {k: pii.PATTERNS[k].replace(pii.START, r"\b").replace(pii.END, r"\b").replace("'", "''") for k in ("iban", *pii.SECRET_KINDS)}
+    given = "regexp_extract(v, '[A-Za-z0-9_]+$')"
+    tests |= {
+        "access_key": "len(list_distinct(string_split(lower(v), ''))) >= 8",
+        "credential": f"regexp_matches({given}, '[0-9]') AND regexp_matches({given}, '[A-Za-z]') AND NOT regexp_matches({given}, '{plain['secret']}') AND NOT regexp_matches({given}, '{plain['access_key']}')",
+    }
     word = lambda listed: f"regexp_matches(around, '(?i)\\b(?:{listed})\\b')"
     around = f"substr(t, greatest(s + 1 - {pii.WINDOW}, 1), length(v) + {2 * pii.WINDOW})"
     parts = []
@@ -82,7 +87,7 @@ def op3() -> str:
             p = plain[kind]
             found = f"""SELECT doc_id, t, v[i] AS v, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[:i - 1], lambda x: length(x))), 0))::BIGINT AS s
               FROM (SELECT doc_id, t, v, g, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS v, regexp_split_to_array(t, '{p}') AS g FROM d))"""
-        words = pii.SECRET_WORDS if kind == "secret" else pii.PERSONAL_WORDS
+        words = pii.SECRET_WORDS if kind in pii.SECRET_KINDS else pii.PERSONAL_WORDS
         score = f"round(least({pii.BASE_SCORE[kind]}::DOUBLE + CASE WHEN {word(words)} THEN {pii.STEP}::DOUBLE ELSE 0.0 END - CASE WHEN {word(pii.OTHER_WORDS)} THEN {pii.STEP}::DOUBLE ELSE 0.0 END, 1.0), 3)"
         least = f" WHERE score >= {pii.THRESHOLD}" if kind in pii.ADDED_KINDS else ""
         parts.append(f"SELECT * FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, v, s, {score} AS score FROM (SELECT *, {around} AS around FROM ({found}) WHERE {tests[kind]})){least}")

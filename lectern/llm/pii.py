@@ -10,7 +10,9 @@ from lectern.functions.spans import let, match_spans
 #: Kinds that are always kept when their check holds, in output order.
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds; they need a checksum or a context word.
-ADDED_KINDS = ("iban", "phone_local", "secret")
+ADDED_KINDS = ("iban", "phone_local", "secret", "access_key", "credential")
+#: Those of them that words about secrets raise.
+SECRET_KINDS = ("secret", "access_key", "credential")
 
 #: Where an ASCII word starts and ends, whatever other letters stand around it.
 START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -28,6 +30,8 @@ def _iban() -> str:
     return f"{START}(?:{by_length}){END}"
 
 
+#: Names that a credential is assigned to.
+_ASSIGNED = "(?:password|passwd|pwd|secret|token|api_?key)"
 #: The fixed patterns, in forms that match the same spans in linear time: a match
 #: can only start where its run of characters starts or the last match ended, and
 #: nothing that follows a possessive run could use what it has taken.
@@ -39,6 +43,9 @@ PATTERNS = {
     "iban": _iban(),
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "secret": f"{START}[0-9A-Fa-f]{{32,128}}{END}",
+    # keys that their issuers give a fixed start and length
+    "access_key": f"{START}(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[oprsu]_[A-Za-z0-9]{{36}}|[rs]k_live_[A-Za-z0-9]{{24,99}}|xox[abeoprs]-[A-Za-z0-9-]{{9,99}}[A-Za-z0-9]){END}",
+    "credential": f"(?i){START}{_ASSIGNED}\\x20{{0,2}}[=:]\\x20{{0,2}}[\"']?[A-Za-z0-9_]{{8,64}}{END}",
 }
 #: A cheap test that every text with a match of the kind passes.
 PROBES = {
@@ -49,8 +56,10 @@ PROBES = {
     "iban": r"[A-Z]{2}[0-9]{2}",
     "phone_local": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
     "secret": "[0-9A-Fa-f]{32}",
+    "access_key": "(?:AKIA|ASIA)[A-Z0-9]|gh[oprsu]_|k_live_|xox[abeoprs]-",
+    "credential": rf"(?i){_ASSIGNED}\x20{{0,2}}[=:]",
 }
-BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "phone_local": 0.4, "secret": 0.4}
+BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "phone_local": 0.4, "secret": 0.4, "access_key": 0.6, "credential": 0.4}
 #: Words within WINDOW characters that raise or lower a span's score by STEP: of personal data, of secrets, and of what only looks like either.
 PERSONAL_WORDS = "tel|phone|call|mobile|fax|contact|mail|email|card|visa|iban|account|bank|address|ip"
 SECRET_WORDS = "token|key|api|apikey|secret|password|passwd|pwd|auth|bearer|credential|credentials"
@@ -98,16 +107,23 @@ def confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(8, 15)
     if kind == "iban":
         return _mod97(value)
+    different = lambda x: F.size(F.array_distinct(F.filter(F.split(F.lower(x), ""), lambda c: c != "")))
     if kind == "secret":
         # drawn at random, 32 hex digits hold letters, digits and many different ones
-        return value.rlike("[0-9]") & value.rlike("[A-Fa-f]") & (F.size(F.array_distinct(F.filter(F.split(F.lower(value), ""), lambda c: c != ""))) >= 8)
+        return value.rlike("[0-9]") & value.rlike("[A-Fa-f]") & (different(value) >= 8)
+    if kind == "access_key":
+        return different(value) >= 8
+    if kind == "credential":
+        # words are no credentials; keys of the other kinds are left to them
+        given = F.regexp_extract(value, r"[A-Za-z0-9_]+\z", 0)
+        return given.rlike("[0-9]") & given.rlike("[A-Za-z]") & ~given.rlike(PATTERNS["secret"]) & ~given.rlike(PATTERNS["access_key"])
     return F.lit(True)
 
 
 def _scored(kind: str, text: Column) -> Column:
     def one(s: Column) -> Column:
         around = F.substring(text, F.greatest(s["start"] + 1 - WINDOW, F.lit(1)), s["end"] - s["start"] + 2 * WINDOW)
-        raises = word_of(SECRET_WORDS if kind == "secret" else PERSONAL_WORDS)
+        raises = word_of(SECRET_WORDS if kind in SECRET_KINDS else PERSONAL_WORDS)
         score = F.lit(BASE_SCORE[kind]) + F.when(around.rlike(raises), STEP).otherwise(0.0) - F.when(around.rlike(word_of(OTHER_WORDS)), STEP).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.round(F.least(score, F.lit(1.0)), 3).alias("score"))
 
@@ -123,7 +139,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
 
     Offsets are code points, ends exclusive. Base kinds (e-mail, IP, card, phone)
     stay whatever their score; the added kinds (IBAN by mod-97, local phone
-    numbers and hexadecimal secrets by a context word) need ``THRESHOLD``. Null or empty text gives an
+    numbers and hexadecimal secrets by a context word, issuers' access keys, and
+    credentials with the name that they are assigned to) need ``THRESHOLD``. Null or empty text gives an
     empty array. A column of the name ``out`` in ``docs`` is replaced, all others
     pass through; rows are neither dropped nor merged, and nothing is shuffled.
     """
