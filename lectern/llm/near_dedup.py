@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import pieces
-from lectern.llm.bag_minhash import BANDS, bag_of, bags, band_keys, signatures, similarity, word_hashes
+from lectern.llm.bag_minhash import BANDS, bags, band_keys, signatures, similarity, word_hashes
 from lectern.llm.common import bit_gate, checkpoint, fresh, passes
 
 SIMILARITY = 0.8
 #: Documents in one block of a comparison at most, about, and words.
 BLOCK, BLOCK_WORDS = 128, 1 << 18
-_NO_ID = -(1 << 63)
+NO_ID = -(1 << 63)
+#: (document, shingle, weight) of the multisets of some texts, by document, then shingle.
+Bags = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def text_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return bags([word_hashes(t) for t in texts])
+
+
+def _bag(of: Bags, text: str) -> tuple[np.ndarray, np.ndarray]:
+    _, shingle, weight = of([text])
+    return shingle, weight
 
 
 def sign(rows: DataFrame) -> DataFrame:
@@ -28,7 +39,7 @@ def sign(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "_text"):
-            doc, shingle, weight = bags([word_hashes(t) for t in texts])
+            doc, shingle, weight = text_bags(texts)
             keys = band_keys(signatures(doc, shingle, weight, len(texts)))
             ends = np.searchsorted(doc, np.arange(len(texts) + 1))
             spans = list(zip(ends[:-1], ends[1:], strict=True))
@@ -51,7 +62,7 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return checkpoint(near.join(firsts, ["_id", "_th"]).groupBy("bag").agg(F.min("_text").alias("_text")))
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, of: Bags = text_bags) -> DataFrame:
     """a, b, sim, words (of b): the weighted Jaccard similarity of each pair of bags, by the exact overlap of their shingles."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("bag")), nodes, rows)
     both = pairs.join(texts.select(F.col("bag").alias("b"), F.col("_text").alias("tb")), "b").join(texts.select(F.col("bag").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -64,8 +75,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
             for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
                 # rows of the same leader follow each other
                 if last is None or last[0] != a.as_py():
-                    last = (a.as_py(), bag_of(ta.as_py()))
-                own = bag_of(tb.as_py())
+                    last = (a.as_py(), _bag(of, ta.as_py()))
+                own = _bag(of, tb.as_py())
                 out.append(similarity(last[1], own))
                 words.append(int(own[1].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary()), pa.array(out, type=pa.float64()), pa.array(words, type=pa.int64())], schema=schema)
@@ -73,7 +84,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return checkpoint(both.mapInArrow(run, "a binary, b binary, sim double, words bigint"))
 
 
-def verify_rest(tried: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def verify_rest(tried: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float, of: Bags = text_bags) -> DataFrame:
     """a, b: all links between bags of different classes that share a leader.
 
     Two documents of one bucket share its leader, so no candidate is left out. The
@@ -112,31 +123,31 @@ def verify_rest(tried: DataFrame, labels: DataFrame, nodes: DataFrame, rows: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: tuple(map(r.get, at))):
             block = list(held)
-            found = block_links([r for r in block if r["asks"]], [r for r in block if not r["asks"]], threshold)
+            found = block_links([r for r in block if r["asks"]], [r for r in block if not r["asks"]], threshold, of)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in zip(*found, strict=True)], schema=schema)
 
     return checkpoint(blocks.mapInArrow(run, "a binary, b binary").distinct())
 
 
-def block_links(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
+def block_links(xs: list[dict], ys: list[dict], threshold: float, of: Bags = text_bags) -> list[tuple[bytes, bytes]]:
     """(bag, bag) of the pairs of one of ``xs`` and one of ``ys``, of different classes, that reach the similarity; of two that both ask, once."""
     if not xs or not ys:
         return []
-    owner, shingle, weight = bags([word_hashes(r["_text"]) for r in ys])
+    owner, shingle, weight = of([r["_text"] for r in ys])
     order = np.argsort(shingle, kind="stable")
     owner, shingle, weight = owner[order], shingle[order], weight[order]
     total = np.bincount(owner, weights=weight, minlength=len(ys))
     out = []
     for r in xs:
-        own, count = bag_of(r["_text"])
+        own, count = _bag(of, r["_text"])
         lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
         n = hi - lo
         # the places in ys of each shingle of r, one after the other
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         shared = np.bincount(owner[at], weights=np.minimum(weight[at], np.repeat(count, n)), minlength=len(ys))
         whole = total + count.sum() - shared
-        for i in np.flatnonzero((shared >= threshold * whole) & (whole > 0)):
+        for i in np.flatnonzero((whole > 0) & (shared / np.maximum(whole, 1) >= threshold)):
             y = ys[i]
             if y["comp"] != r["comp"] and (not y["x"] or r["bag"] < y["bag"]):
                 out.append((min(r["bag"], y["bag"]), max(r["bag"], y["bag"])))
@@ -161,6 +172,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def linked(nodes: DataFrame, keys: DataFrame, rows: DataFrame, threshold: float, of: Bags = text_bags) -> DataFrame:
+    """bag, comp: the connected components of the bags that reach the similarity, bags without a link left out.
+
+    ``nodes`` (bag, id, th) names a row of each bag, ``keys`` (bag, key) those that may be linked: bags that share a key are compared,
+    by the rows' texts, without forming all pairs of a key.
+    """
+    shared = checkpoint(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    gate = F.broadcast(bit_gate(shared, "key"))
+    members = checkpoint(keys.crossJoin(gate).filter(passes(F.col("_gate"), F.col("key"))).select("bag", "key").distinct().join(shared, "key"))
+
+    # the member that shares the largest buckets is nearest to the middle of its group
+    weight = checkpoint(members.groupBy("bag").agg(F.sum("n").alias("w")))
+    leaders = checkpoint(members.join(weight, "bag").groupBy("key").agg(F.max_by("bag", F.struct("w", "bag")).alias("a")))
+    pairs = checkpoint(members.join(leaders, "key").filter("bag <> a").select("a", F.col("bag").alias("b")).distinct())
+    tried = verify(pairs, nodes, rows, of)
+    links = tried.filter(F.col("sim") >= threshold).select("a", "b")
+    more = verify_rest(tried, components(links), nodes, rows, threshold, of)
+    return components(links.unionByName(more))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id``, ``kept``, ``class_key``, ``text_hash``.
 
@@ -182,24 +213,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by all bands with a probability under 1e-5, one above it less often.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
     signed = checkpoint(sign(rows))
     # equal bags have equal bands
     nodes = checkpoint(signed.groupBy("bag").agg(F.min(F.struct("_id", "_th", "bands")).alias("m")).select("bag", F.col("m._id").alias("id"), F.col("m._th").alias("th"), F.col("m.bands").alias("bands")))
 
-    keys = nodes.select("bag", F.explode("bands").alias("key"))
-    shared = checkpoint(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    gate = F.broadcast(bit_gate(shared, "key"))
-    members = checkpoint(keys.crossJoin(gate).filter(passes(F.col("_gate"), F.col("key"))).select("bag", "key").distinct().join(shared, "key"))
-
-    # the member that shares the largest buckets is nearest to the middle of its group
-    weight = checkpoint(members.groupBy("bag").agg(F.sum("n").alias("w")))
-    leaders = checkpoint(members.join(weight, "bag").groupBy("key").agg(F.max_by("bag", F.struct("w", "bag")).alias("a")))
-    pairs = checkpoint(members.join(leaders, "key").filter("bag <> a").select("a", F.col("bag").alias("b")).distinct())
-    tried = verify(pairs, nodes, rows)
-    links = tried.filter(F.col("sim") >= threshold).select("a", "b")
-    more = verify_rest(tried, components(links), nodes, rows, threshold)
-    labels = components(links.unionByName(more))
+    labels = linked(nodes, nodes.select("bag", F.explode("bands").alias("key")), rows, threshold)
 
     # a class is named by the first row of all its nodes
     in_class = checkpoint(labels.join(nodes.select("bag", "id", "th"), "bag"))
@@ -207,7 +226,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_class = checkpoint(in_class.select("bag", "comp").join(first, "comp"))
     named = checkpoint(nodes.select("bag", "id", "th").join(of_class, "bag", "left").select("bag", F.coalesce("comp", "bag").alias("comp"), F.coalesce("f.id", "id").alias("class_id"), F.coalesce("f.th", "th").alias("class_th")))
     out = signed.select("_id", "_th", "bag").join(named, "bag")
-    given = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     kept = (F.col("_id") == F.col("class_id")) & (F.col("_th") == F.col("class_th"))
     return out.select(given("_id").alias(id_col), given("class_id").alias("class_id"), kept.alias("kept"), F.lower(F.hex("comp")).alias("class_key"), F.col("_th").alias("text_hash"))
 

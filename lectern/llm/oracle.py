@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express: op1, op3, op5 and op7. The others are tested against brute force."""
+"""DuckDB SQL of the queries that SQL can express: op1, op3, op5, op7, op11 and op13. The others are tested against brute force."""
 
 from __future__ import annotations
 
@@ -132,5 +132,48 @@ def op7() -> str:
         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(char_distance, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {quality.MAX_WORD_DISTANCE} AS kept FROM j"""
 
 
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)), lambda acc, b:
+  list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, CASE WHEN (x & 1) = 1 THEN 3988292384 ELSE 0 END)::BIGINT)), 4294967295::BIGINT)"""
+
+#: Edit by edit: for each role kept last, the cheapest edits so far, those whose initials are least.
+OP11 = f"""WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+  summed AS (SELECT *, {_CRC} % 20 AS d FROM base),
+  hit AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM summed, range(2) r(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+  numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hit),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, substr(role, 1, 1) AS ini FROM numbered),
+  judged AS MATERIALIZED (SELECT conv_id, turn, role, text, i, ini, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prior,
+    CASE WHEN core = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+  inserts AS (SELECT * FROM (VALUES ('', '', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+    ('', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'u', 3, 'I', chr(10) || 'user:'), ('u', 'a', 3, 'I', chr(10) || 'assistant:'), ('a', 'u', 3, 'I', chr(10) || 'user:')) t(was, state, price, edits, added)),
+  ways AS (SELECT * FROM (VALUES ('', 's', 'system'), ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')) t(was, state, named)),
+  dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS state, {{'c': 0, 'a': '', 'b': ''}} AS best FROM judged
+    UNION ALL SELECT conv_id, i, state, min(best) AS best FROM (
+      SELECT j.conv_id, j.i, d.state, {{'c': d.best.c + 4, 'a': d.best.a || 'D', 'b': d.best.b}} AS best FROM dp d JOIN judged j ON j.conv_id IS NOT DISTINCT FROM d.conv_id AND j.i = d.i + 1
+      UNION ALL SELECT j.conv_id, j.i, w.state, {{'c': d.best.c + n.price + CASE WHEN w.state = j.ini THEN 0 ELSE 3 END + CASE j.fault WHEN 'truncated' THEN 3 ELSE 0 END,
+          'a': d.best.a || n.edits || CASE WHEN w.state = j.ini THEN 'K' ELSE 'R' END, 'b': d.best.b || n.added || chr(10) || CASE WHEN w.state = j.ini THEN j.role ELSE w.named END || ':' || j.text}} AS best
+        FROM dp d JOIN judged j ON j.conv_id IS NOT DISTINCT FROM d.conv_id AND j.i = d.i + 1 JOIN inserts n ON n.was = d.state JOIN ways w ON w.was = n.state
+        WHERE j.fault NOT IN ('blank', 'duplicate') AND (w.state = j.ini OR w.state <> 's')) GROUP BY conv_id, i, state),
+  size AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+  ended AS (SELECT d.conv_id, min({{'c': best.c + CASE state WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END, 'a': best.a || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+      'b': best.b || CASE state WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END}}) AS best
+    FROM dp d JOIN size s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.n = d.i GROUP BY d.conv_id)
+  SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+    coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.b, 2), '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN size s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+OP13 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+  e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+  links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reached AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reached r JOIN ways l ON l.a = r.b)
+  SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN reached r ON r.a = s.doc_id GROUP BY s.doc_id, s.s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": op1(), "op3_pii": op3(), "op5_exact_dedup": OP5, "op7_quality_rules": op7()}
+    return {"op1_url_trust": op1(), "op3_pii": op3(), "op5_exact_dedup": OP5, "op7_quality_rules": op7(), "op11_turn_repair": OP11, "op13_set_join": OP13}

@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10, each over its whole table, and their SQL."""
+"""The registered queries op1 to op13, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -17,8 +17,11 @@ from lectern.llm.near_dedup import near_classes
 from lectern.llm.oracle import oracle_sql  # noqa: F401
 from lectern.llm.pii import ADDED_KINDS, BASE_KINDS, find_pii, span_string
 from lectern.llm.quality import quality_rules
+from lectern.llm.set_join import similar_sets
 from lectern.llm.token_counts import count_tokens
+from lectern.llm.turn_repair import damage, repair_summaries
 from lectern.llm.url_trust import filter_urls
+from lectern.llm.whitening import whiten
 
 
 #: Vocabulary files are read where the tokenizer package has them; both are parameters of the operators.
@@ -87,6 +90,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_removed").cast("bigint"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return repair_summaries(damage(rows), rows)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_trust": op1_url_trust,
@@ -99,4 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
+        "op11_turn_repair": op11_turn_repair,
+        "op12_whitening": op12_whitening,
+        "op13_set_join": op13_set_join,
     }
