@@ -53,6 +53,11 @@ def bm25_scores(candidates: DataFrame, counts: DataFrame, queries: DataFrame, ke
     """
     stats = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     hits = counts.filter("term is not null").select(key, "term", "tf").join(query_terms(queries), "term").join(candidates.select("query_id", key, "len"), ["query_id", key])
+    return hit_scores(hits, stats, key)
+
+
+def hit_scores(hits: DataFrame, stats: DataFrame, key: str = "seq") -> DataFrame:
+    """query_id, key, lexical: BM25 from ``hits`` (query_id, key, term, tf, len), the candidates' rows of query terms, and ``stats`` (query_id, n, avg) of all candidates."""
     df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0)
