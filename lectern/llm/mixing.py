@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.89, "poor": 0.1, "toxic": 0.01}
 #: Posteriors are given to this many decimals, so documents with equal ones can be solved for together.
 DECIMALS = 3
-#: Steps at most, the relative error of a domain's total that is good enough, and the relative change below which bounds hold the rates.
-STEPS, TOLERANCE, STALLED = 60, 1e-3, 1e-4
+#: The relative error of a domain's total that is good enough; a step that lowers the squared error by a smaller share than the second is none.
+TOLERANCE, STALLED = 1e-3, 1e-5
+#: Lengths tried of a step by curvature, and of one by the gradient.
+BY_CURVE, BY_GRADIENT = tuple(0.5**i for i in range(12)), tuple(2.0**i for i in range(8))
 #: Values that a document's chance takes.
 CHANCES = 1024
 
@@ -85,54 +89,123 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Domai
     return DomainModel(sample(docs, labels, domain_class(), rows=rows), prior)
 
 
-def _rate(past: list[list[float]], step: float, whole: str | None, most: float | None) -> Column:
+def _rate(past: list[list[float]], whole: str | None, most: float | None) -> Column:
     """The rate after the steps taken so far, from a document's posteriors: each step goes down the gradient and back to nonnegative, and to ``most`` at most.
 
     Documents most likely of the domain ``whole`` stay at 1.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    bound = lambda rate: F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
+    bounded = lambda rate: F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
     rate = F.lit(1.0)
     if past:
         pull = lambda r: sum((p[k] * r[k] for k in range(1, len(p))), p[0] * r[0])
-        rate = F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in past)), rate, lambda acc, r: bound(acc - step * pull(r)))
+        rate = F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in past)), rate, lambda acc, r: bounded(acc - pull(r)))
     return F.round(rate if whole is None else F.when(p[DOMAINS.index(whole)] >= 0.5, F.lit(1.0)).otherwise(rate), 6)
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str | None = None, most: float | None = None) -> tuple[list[list[float]], float]:
-    """(weighted residuals of each step, step size): all that ``_rate`` needs.
+def _whole(p: np.ndarray, whole: str | None) -> np.ndarray:
+    return np.zeros(len(p), dtype=bool) if whole is None else p[:, DOMAINS.index(whole)] >= 0.5
+
+
+def _stepped(p: np.ndarray, rate: np.ndarray, step: np.ndarray, whole: str | None, most: float | None) -> np.ndarray:
+    """Rates after a step, as in ``_rate``."""
+    return np.where(_whole(p, whole), 1.0, np.clip(rate - p @ np.asarray(step), 0.0, most))
+
+
+def _rates(p: np.ndarray, past: list[list[float]], whole: str | None, most: float | None) -> np.ndarray:
+    rate = np.ones(len(p))
+    for step in past:
+        rate = _stepped(p, rate, step, whole, most)
+    return rate
+
+
+def _sums(cells: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of ``part`` (posteriors, tokens): so many numbers a task are shuffled, and so many reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size)
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(DOMAINS) + 1)]
+            found += np.ravel(part(np.column_stack(columns[:-1]), columns[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(found)], names=["i", "v"])
+
+    told = cells.select(*(f"p_{d}" for d in DOMAINS), "_t").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    for r in told:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str | None = None, most: float | None = None) -> list[list[float]]:
+    """The steps, all that ``_rate`` needs.
 
     Least squares of the domains' expected token totals against their targets, over nonnegative
     rates (``most`` at most), by projected gradient from all rates 1, with distances
     of rates weighted by tokens. The gradient for a document depends on its posteriors
     alone, so documents with equal ones share a rate: ``cells`` (posteriors, ``_t`` tokens) has
-    as many rows as posteriors of ``DECIMALS`` decimals allow, and each step is one distributed
-    sum over them. The driver gets one number for each domain and step. A domain's error is weighted by
+    as many rows as posteriors of ``DECIMALS`` decimals allow, and a step is one distributed
+    sum over them, or a few where it is halved. The driver gets the domains' totals and their curvature. A domain's error is weighted by
     one over its curvature, or its target if that is larger; where all targets can be met, the weights don't matter.
+
+    A step is scaled by the inverse curvature of the rates that no bound holds against it, which meets the targets at once while no rate runs into a bound; one sum tries
+    that step and the plain gradient in several lengths, and the best is taken. It ends when all totals are within ``TOLERANCE`` of
+    their targets, or when no step lowers the squared error by a share of ``STALLED`` any more: the bounds then hold the rates, and the targets can't all be met.
     """
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    n = range(len(DOMAINS))
-    share = lambda x: F.sum(F.col("_t") * x)
-    first = cells.agg(F.sum("_t").alias("t"), *(share(p[k]).alias(f"s{k}") for k in n), *(share(p[k] * p[j]).alias(f"m{k}{j}") for k in n for j in n)).first()
-    if not first["t"]:
-        return [], 0.0
-    now = np.array([first[f"s{k}"] for k in n]) / first["t"]
+    n = len(DOMAINS)
+    past: list[list[float]] = []
+
+    def moving(p: np.ndarray, rate: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """Which rates a step down the gradient moves."""
+        down = p @ gradient
+        free = ~((rate <= 0) & (down > 0)) & ~_whole(p, whole)
+        return free if most is None else free & ~((rate >= most) & (down < 0))
+
+    def curvature(gradient: np.ndarray | None) -> np.ndarray:
+        """Of the rates that a step moves, of all rates without one."""
+        steps = list(past)
+
+        def part(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+            own = t if gradient is None else t * moving(p, _rates(p, steps, whole, most), gradient)
+            return (p * own[:, None]).T @ p
+
+        return _sums(cells, part, n * n).reshape(n, n) / total
+
+    def totals(tried: list[np.ndarray]) -> np.ndarray:
+        """The domains' totals after each of the steps, a row each."""
+        steps = list(past)
+
+        def part(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+            rate = _rates(p, steps, whole, most)
+            return np.array([(t * _stepped(p, rate, step, whole, most)) @ p for step in tried])
+
+        return _sums(cells, part, len(tried) * n).reshape(-1, n) / total
+
+    total = float(_sums(cells, lambda p, t: t.sum(), 1)[0])
+    if not total:
+        return []
+    now, curve = totals([np.zeros(n)])[0], curvature(None)
     # as many tokens as there are, or as many as make the domain that is whole its share
     size = 1.0 if whole is None or now[DOMAINS.index(whole)] <= 0 else now[DOMAINS.index(whole)] / targets[whole]
     want = np.array([targets[d] for d in DOMAINS]) * size
-    curve = np.array([[first[f"m{k}{j}"] for j in n] for k in n]) / first["t"]
     weight = 1 / np.maximum(np.maximum(np.diag(curve), want), 1e-9)
-    step = float(1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * curve * np.sqrt(weight)).max())
-    past: list[list[float]] = []
-    while len(past) < STEPS and (np.abs(now - want) > TOLERANCE * want).any():
-        past.append([float(x) for x in (now - want) * weight])
-        got = cells.agg(*(share(p[k] * _rate(past, step, whole, most)).alias(f"s{k}") for k in n)).first()
-        new = np.array([got[f"s{k}"] for k in n]) / first["t"]
-        stalled = (np.abs(new - now) <= STALLED * np.maximum(want, 1e-9)).all()
-        now = new
-        if stalled:
+    root = np.sqrt(weight)
+    while (np.abs(now - want) > TOLERANCE * want).any():
+        off = now - want
+        curve = curvature(weight * off)
+        largest = float(np.linalg.eigvalsh(root[:, None] * curve * root).max())
+        if largest <= 0:
+            break
+        # weighted least squares, so that a target that can't be moved doesn't hold up the others
+        by_curve = np.linalg.pinv(root[:, None] * curve, rcond=1e-9) @ (root * off)
+        steps = [by_curve * x for x in BY_CURVE] + [weight * off / largest * x for x in BY_GRADIENT]
+        after = totals(steps)
+        errors = [float(weight @ (x - want) ** 2) for x in after]
+        best = int(np.argmin(errors))
+        if not errors[best] < float(weight @ off**2) * (1 - STALLED):
             break
-    return past, step
+        past.append([float(x) for x in steps[best]])
+        now = after[best]
+    return past
 
 
 def _chance(id_col: str) -> Column:
@@ -192,8 +265,8 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS
     scored = apply(docs, id_col, text_col, names, model.score)
     scored = scored if carry else checkpoint(scored)
     fine = checkpoint(scored.groupBy(*names, _chance(id_col).alias("_chance")).agg(F.sum("n_words").cast("double").alias("_t")))
-    past, step = fit_rates(checkpoint(fine.groupBy(*names).agg(F.sum("_t").alias("_t"))), targets, whole, max_copies)
-    rate = _rate(past, step, whole, max_copies)
+    past = fit_rates(checkpoint(fine.groupBy(*names).agg(F.sum("_t").alias("_t"))), targets, whole, max_copies)
+    rate = _rate(past, whole, max_copies)
     shifts = F.array(*map(F.lit, fit_shifts(fine, rate)))
     scored = apply(docs, id_col, text_col, names, model.score, carry=True) if carry else scored
     more = F.coalesce(_due(F.col("rate"), _chance(id_col)) < F.get(shifts, _likeliest()), F.lit(False))
