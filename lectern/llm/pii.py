@@ -42,10 +42,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": _iban(),
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": f"{START}[0-9A-Fa-f]{{32,128}}{END}",
+    "secret": f"{START}[0-9A-Fa-f]{{32,}}{END}",
     # keys that their issuers give a fixed start and length
-    "access_key": f"{START}(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[oprsu]_[A-Za-z0-9]{{36}}|[rs]k_live_[A-Za-z0-9]{{24,99}}|xox[abeoprs]-[A-Za-z0-9-]{{9,99}}[A-Za-z0-9]){END}",
-    "credential": f"(?i){START}{_ASSIGNED}\\x20{{0,2}}[=:]\\x20{{0,2}}[\"']?[A-Za-z0-9_]{{8,64}}{END}",
+    "access_key": f"{START}(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[oprsu]_[A-Za-z0-9]{{36}}|[rs]k_live_[A-Za-z0-9]{{24,}}|xox[abeoprs]-[A-Za-z0-9-]{{9,}}[A-Za-z0-9]){END}",
+    "credential": f"(?i){START}{_ASSIGNED}\\x20{{0,2}}[=:]\\x20{{0,2}}[\"']?[A-Za-z0-9_]{{8,}}{END}",
 }
 #: A cheap test that every text with a match of the kind passes.
 PROBES = {

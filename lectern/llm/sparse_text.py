@@ -18,6 +18,8 @@ from lectern.llm.common import checkpoint
 
 #: Labelled rows of each class that a fit reads at most, and the characters that such a row may have.
 ROWS_PER_CLASS, ROW_CHARS = 3000, 20_000
+#: Classes of labels at most; more are an error.
+MOST_CLASSES = 64
 #: Features of a model at most, and documents of the sample that must hold one.
 FEATURES, MIN_DOCS, LEAST_ODDS = 2000, 3, 1.5
 #: Probability, at most, that a feature is in so many documents of a class by chance.
@@ -84,7 +86,10 @@ def sample(docs: DataFrame, labels: DataFrame, classes: Column, id_col: str = "d
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.length("_text") <= chars)
     fit = checkpoint(marked.join(texts.select("_id").distinct(), "_id", "left_semi"))
     picks = None
-    for y, n in sorted((r["_y"], r["n"]) for r in fit.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy("_y").limit(64).collect()):
+    found = fit.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"labels have more than {MOST_CLASSES} classes")
+    for y, n in sorted((r["_y"], r["n"]) for r in found):
         part = fit.filter(F.col("_y") == y)
         if n > 4 * rows:
             part = part.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) < F.lit(int(3 * rows / n * (1 << 32))))
