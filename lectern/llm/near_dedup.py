@@ -59,7 +59,8 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     firsts = checkpoint(nodes.join(wanted.distinct(), "bag", "left_semi").select("bag", F.col("id").alias("_id"), F.col("th").alias("_th")))
     gate = F.broadcast(bit_gate(firsts.select(F.xxhash64("_id", "_th").alias("key")), "key"))
     near = rows.crossJoin(gate).filter(passes(F.col("_gate"), F.xxhash64("_id", "_th"))).select("_id", "_th", "_text")
-    return checkpoint(near.join(firsts, ["_id", "_th"]).groupBy("bag").agg(F.min("_text").alias("_text")))
+    # a bag has one id and text, by which the join has dealt the rows already
+    return checkpoint(near.join(firsts, ["_id", "_th"]).groupBy("_id", "_th", "bag").agg(F.min("_text").alias("_text")).select("bag", "_text"))
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, of: Bags = text_bags) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.arrow import Memory, pieces
 from lectern.llm.bag_minhash import mix
-from lectern.llm.common import checkpoint
+from lectern.llm.common import bit_gate, checkpoint, passes
 from lectern.llm.near_dedup import NO_ID, linked
 
 SHINGLE = 3
@@ -167,41 +167,41 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
 
 
-def sign(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """_id, _th, bag (16 bytes that stand for the set), n (its size), keys: of large sets those of its lists, of small ones the shingles themselves."""
-    schema = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("bag", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _own_sets(texts: list[str]) -> list[np.ndarray]:
+    doc, shingle, _ = shingle_sets(texts)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [shingle[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.md5(shingles.tobytes()).digest()
+
+
+def sign(rows: DataFrame) -> DataFrame:
+    """_id, _th, bag (16 bytes that stand for the set), n (its size)."""
+    schema = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("bag", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "_text"):
-            doc, shingle, _ = shingle_sets(texts)
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            sizes = np.diff(ends)
-            large = sizes[doc] >= SMALL
-            keys = part_keys(doc[large], shingle[large], len(texts), percent)
-            own = [shingle[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            content = [hashlib.md5(s.tobytes()).digest() for s in own]
-            keys = [s.view(np.int64) if len(s) < SMALL else k for s, k in zip(own, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, type=pa.binary()), pa.array(sizes.astype(np.int64)), _lists(keys)], schema=schema)
+            own = _own_sets(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_digest, own), type=pa.binary()), pa.array([len(s) for s in own], type=pa.int64())], schema=schema)
 
-    return rows.mapInArrow(run, "_id bigint, _th bigint, bag binary, n bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _th bigint, bag binary, n bigint")
 
 
-def small_keys(small: DataFrame, boundary: int, percent: int = PERCENT) -> DataFrame:
-    """bag, keys: of the sets (bag, keys: their shingles) under SMALL, the keys of their subsets, their lists, or both next to the boundary."""
+def set_keys(rows: DataFrame, boundary: int, percent: int = PERCENT) -> DataFrame:
+    """bag, keys: of each row's set those of its subsets, of its lists, or of both next to the boundary; empty sets have none."""
     schema = pa.schema([("bag", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for held in batch.column(1).to_pylist():
-                s = np.array(held, dtype=np.int64).view(np.uint64)
-                parts = [subset_keys(s, percent)] if len(s) < boundary else []
-                if len(s) >= reach(boundary, percent):
-                    parts += part_keys(np.zeros(len(s), dtype=np.int64), s, 1, percent)
-                out.append(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), _lists(out)], schema=schema)
+        for _, texts in pieces(batches, "_text"):
+            own = _own_sets(texts)
+            listed = [s if len(s) >= reach(boundary, percent) else s[:0] for s in own]
+            keys = part_keys(np.repeat(np.arange(len(own)), [len(s) for s in listed]), np.concatenate([np.zeros(0, dtype=np.uint64), *listed]), len(own), percent)
+            keys = [np.concatenate([k, subset_keys(s, percent)]) if 0 < len(s) < boundary else k for s, k in zip(own, keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, own), type=pa.binary()), _lists(keys)], schema=schema)
 
-    return small.select("bag", "keys").mapInArrow(run, "bag binary, keys array<bigint>")
+    return rows.select("_text").mapInArrow(run, "bag binary, keys array<bigint>")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -220,13 +220,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"percent must be {math.ceil(100 / GROWTH)} or more")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-    signed = checkpoint(sign(rows, percent))
-    # equal sets have equal keys
-    nodes = checkpoint(signed.filter("n > 0").groupBy("bag").agg(F.min(F.struct("_id", "_th", "n", "keys")).alias("m")).select("bag", F.col("m._id").alias("id"), F.col("m._th").alias("th"), "m.n", "m.keys"))
-    small = nodes.filter(F.col("n") < SMALL)
-    sizes = {r["n"]: r["k"] for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    keyed = nodes.filter(F.col("n") >= SMALL).select("bag", "keys").unionByName(small_keys(small, choose_boundary(sizes, percent), percent))
-    labels = linked(nodes.select("bag", "id", "th"), keyed.select("bag", F.explode("keys").alias("key")), rows, percent / 100, shingle_sets)
+    signed = checkpoint(sign(rows))
+    nodes = checkpoint(signed.filter("n > 0").groupBy("bag").agg(F.min(F.struct("_id", "_th")).alias("m"), F.first("n").alias("n")).select("bag", F.col("m._id").alias("id"), F.col("m._th").alias("th"), "n"))
+    sizes = {r["n"]: r["k"] for r in nodes.filter(F.col("n") < SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    # one row of each set is enough; a bitmap of fixed size keeps most others out, and what gets through has the same keys
+    place = lambda a, b: F.xxhash64(a, b)
+    gate = F.broadcast(bit_gate(nodes.select(place("id", "th").alias("key")), "key"))
+    firsts = rows.crossJoin(gate).filter(passes(F.col("_gate"), place("_id", "_th")))
+    keyed = checkpoint(set_keys(firsts, choose_boundary(sizes, percent), percent))
+    labels = linked(nodes, keyed.select("bag", F.explode("keys").alias("key")), rows, percent / 100, shingle_sets)
 
     of_class = labels.join(nodes.select("bag", "id"), "bag")
     first = of_class.groupBy("comp").agg(F.min("id").alias("class_id"))
