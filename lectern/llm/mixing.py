@@ -22,10 +22,12 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.89, "poor": 0.1, "toxic": 0.01}
 #: Posteriors are given to this many decimals, so documents with equal ones can be solved for together.
 DECIMALS = 3
-#: The relative error of a domain's total that is good enough; a step that lowers the squared error by a smaller share than the second is none.
-TOLERANCE, STALLED = 1e-3, 1e-5
-#: Lengths tried of a step by curvature, and of one by the gradient.
-BY_CURVE, BY_GRADIENT = tuple(0.5**i for i in range(12)), tuple(2.0**i for i in range(8))
+#: What a change of rates weighs against the error of the totals, and the share of the least squares by which they may be missed: roughly first, then to the end.
+ROUNDS = ((1e-4, 0.1), (1e-8, 1e-3))
+#: Least squares that count as none.
+NOTHING = 1e-15
+#: Lengths tried of a step.
+LENGTHS = (2.0, *(0.5**i for i in range(8)), *(0.25**i for i in range(4, 20)))
 #: Values that a document's chance takes.
 CHANCES = 1024
 
@@ -89,36 +91,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Domai
     return DomainModel(sample(docs, labels, domain_class(), rows=rows), prior)
 
 
-def _rate(past: list[list[float]], whole: str | None, most: float | None) -> Column:
-    """The rate after the steps taken so far, from a document's posteriors: each step goes down the gradient and back to nonnegative, and to ``most`` at most.
+def _rate(pull: list[float], whole: str | None, most: float | None) -> Column:
+    """The rate that a document's posteriors get after the steps summed up in ``pull``: 1 less its gradient, brought back to nonnegative, and to ``most`` at most.
 
     Documents most likely of the domain ``whole`` stay at 1.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    bounded = lambda rate: F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
-    rate = F.lit(1.0)
-    if past:
-        pull = lambda r: sum((p[k] * r[k] for k in range(1, len(p))), p[0] * r[0])
-        rate = F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in past)), rate, lambda acc, r: bounded(acc - pull(r)))
+    rate = F.lit(1.0) - sum((p[k] * F.lit(pull[k]) for k in range(1, len(p))), p[0] * F.lit(pull[0]))
+    rate = F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
     return F.round(rate if whole is None else F.when(p[DOMAINS.index(whole)] >= 0.5, F.lit(1.0)).otherwise(rate), 6)
 
 
-def _whole(p: np.ndarray, whole: str | None) -> np.ndarray:
-    return np.zeros(len(p), dtype=bool) if whole is None else p[:, DOMAINS.index(whole)] >= 0.5
-
-
-def _stepped(p: np.ndarray, rate: np.ndarray, step: np.ndarray, whole: str | None, most: float | None) -> np.ndarray:
-    """Rates after a step, as in ``_rate``."""
-    return np.where(_whole(p, whole), 1.0, np.clip(rate - p @ np.asarray(step), 0.0, most))
-
-
-def _rates(p: np.ndarray, past: list[list[float]], whole: str | None, most: float | None) -> np.ndarray:
-    rate = np.ones(len(p))
-    for step in past:
-        rate = _stepped(p, rate, step, whole, most)
-    return rate
-
-
 def _sums(cells: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum over all batches of ``part`` (posteriors, tokens): so many numbers a task are shuffled, and so many reach the driver."""
 
@@ -136,76 +119,67 @@ def _sums(cells: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]
     return out
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str | None = None, most: float | None = None) -> list[list[float]]:
-    """The steps, all that ``_rate`` needs.
+def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str | None = None, most: float | None = None) -> list[float]:
+    """The sum of the steps, one number a domain: all that ``_rate`` needs.
 
     Least squares of the domains' expected token totals against their targets, over nonnegative
     rates (``most`` at most), by projected gradient from all rates 1, with distances
     of rates weighted by tokens. The gradient for a document depends on its posteriors
     alone, so documents with equal ones share a rate: ``cells`` (posteriors, ``_t`` tokens) has
-    as many rows as posteriors of ``DECIMALS`` decimals allow, and a step is one distributed
-    sum over them, or a few where it is halved. The driver gets the domains' totals and their curvature. A domain's error is weighted by
-    one over its curvature, or its target if that is larger; where all targets can be met, the weights don't matter.
+    as many rows as posteriors of ``DECIMALS`` decimals allow. Steps are summed up, and their sum is projected, not each step for itself: so a rate is known from the sum
+    alone, and of all rates that meet the targets those nearest to 1 are found. A domain's error is weighted by one over its curvature, or its target if that is larger;
+    where all targets can be met, the weights don't matter.
 
-    A step is scaled by the inverse curvature of the rates that no bound holds against it, which meets the targets at once while no rate runs into a bound; one sum tries
-    that step and the plain gradient in several lengths, and the best is taken. It ends when all totals are within ``TOLERANCE`` of
-    their targets, or when no step lowers the squared error by a share of ``STALLED`` any more: the bounds then hold the rates, and the targets can't all be met.
+    A step is scaled by the inverse curvature of the rates that no bound holds, and one distributed sum over the cells tries it in several lengths; the driver gets some numbers for each length.
+    The change of rates counts too, a little (``ROUNDS``), which makes the problem strictly convex: the best length is the one with the largest lower bound of the least
+    squares, and a round ends when the squares are that near to their lower bound, whether or not the targets can be met.
     """
     n = len(DOMAINS)
-    past: list[list[float]] = []
+    top = math.inf if most is None else float(most)
 
-    def moving(p: np.ndarray, rate: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        """Which rates a step down the gradient moves."""
-        down = p @ gradient
-        free = ~((rate <= 0) & (down > 0)) & ~_whole(p, whole)
-        return free if most is None else free & ~((rate >= most) & (down < 0))
-
-    def curvature(gradient: np.ndarray | None) -> np.ndarray:
-        """Of the rates that a step moves, of all rates without one."""
-        steps = list(past)
+    def tried(pulls: list[np.ndarray]) -> np.ndarray:
+        """For each sum of steps, per token: the sum of rate * (start - rate / 2) and of (rate - 1)^2, where start is the rate before it is projected; the domains' totals; the curvature of the rates that move."""
 
         def part(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-            own = t if gradient is None else t * moving(p, _rates(p, steps, whole, most), gradient)
-            return (p * own[:, None]).T @ p
-
-        return _sums(cells, part, n * n).reshape(n, n) / total
-
-    def totals(tried: list[np.ndarray]) -> np.ndarray:
-        """The domains' totals after each of the steps, a row each."""
-        steps = list(past)
-
-        def part(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-            rate = _rates(p, steps, whole, most)
-            return np.array([(t * _stepped(p, rate, step, whole, most)) @ p for step in tried])
-
-        return _sums(cells, part, len(tried) * n).reshape(-1, n) / total
-
-    total = float(_sums(cells, lambda p, t: t.sum(), 1)[0])
+            held = np.zeros(len(p), dtype=bool) if whole is None else p[:, DOMAINS.index(whole)] >= 0.5
+            rows = []
+            for pull in pulls:
+                start = 1 - p @ pull
+                rate = np.where(held, 1.0, np.clip(start, 0.0, top))
+                moves = t * (~held & (start > 0) & (start < top))
+                rows.append([t @ (rate * (start - rate / 2)), t @ (rate - 1) ** 2, *((t * rate) @ p), *np.ravel((p * moves[:, None]).T @ p)])
+            return np.array(rows)
+
+        return _sums(cells, part, len(pulls) * (2 + n + n * n)).reshape(len(pulls), -1) / total
+
+    first = _sums(cells, lambda p, t: np.append(np.ravel((p * t[:, None]).T @ p), [t @ p[:, k] for k in range(n)] + [t.sum()]), n * n + n + 1)
+    total = float(first[-1])
+    pull = np.zeros(n)
     if not total:
-        return []
-    now, curve = totals([np.zeros(n)])[0], curvature(None)
+        return pull.tolist()
+    now, curve = first[n * n : -1] / total, first[: n * n].reshape(n, n) / total
     # as many tokens as there are, or as many as make the domain that is whole its share
     size = 1.0 if whole is None or now[DOMAINS.index(whole)] <= 0 else now[DOMAINS.index(whole)] / targets[whole]
     want = np.array([targets[d] for d in DOMAINS]) * size
     weight = 1 / np.maximum(np.maximum(np.diag(curve), want), 1e-9)
-    root = np.sqrt(weight)
-    while (np.abs(now - want) > TOLERANCE * want).any():
-        off = now - want
-        curve = curvature(weight * off)
-        largest = float(np.linalg.eigvalsh(root[:, None] * curve * root).max())
-        if largest <= 0:
-            break
-        # weighted least squares, so that a target that can't be moved doesn't hold up the others
-        by_curve = np.linalg.pinv(root[:, None] * curve, rcond=1e-9) @ (root * off)
-        steps = [by_curve * x for x in BY_CURVE] + [weight * off / largest * x for x in BY_GRADIENT]
-        after = totals(steps)
-        errors = [float(weight @ (x - want) ** 2) for x in after]
-        best = int(np.argmin(errors))
-        if not errors[best] < float(weight @ off**2) * (1 - STALLED):
-            break
-        past.append([float(x) for x in steps[best]])
-        now = after[best]
-    return past
+    before = ROUNDS[0][0]
+    for change, share in ROUNDS:
+        # where targets are missed, the sum grows as a change of rates weighs less; where they are met, it stays
+        pulls, low = [pull, pull * (before / change)], -math.inf
+        while True:
+            found = tried(pulls)
+            bounds = [change * (0.5 - r[0] - want @ x - change / 2 * (x * x / weight).sum()) for r, x in zip(found, pulls, strict=True)]
+            best = int(np.argmax(bounds))
+            if not bounds[best] > low:
+                break
+            low, pull, totals, curve = bounds[best], pulls[best], found[best][2 : 2 + n], found[best][2 + n :].reshape(n, n)
+            squares = float(weight @ (totals - want) ** 2 + change * found[best][1]) / 2
+            if squares - low <= share * squares + NOTHING:
+                break
+            step = np.linalg.solve(curve + change * np.diag(1 / weight), totals - want - change * pull / weight)
+            pulls = [pull + step * x for x in LENGTHS]
+        before = change
+    return [float(x) for x in pull]
 
 
 def _chance(id_col: str) -> Column:
@@ -265,8 +239,8 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float] = TARGETS
     scored = apply(docs, id_col, text_col, names, model.score)
     scored = scored if carry else checkpoint(scored)
     fine = checkpoint(scored.groupBy(*names, _chance(id_col).alias("_chance")).agg(F.sum("n_words").cast("double").alias("_t")))
-    past = fit_rates(checkpoint(fine.groupBy(*names).agg(F.sum("_t").alias("_t"))), targets, whole, max_copies)
-    rate = _rate(past, whole, max_copies)
+    pull = fit_rates(checkpoint(fine.groupBy(*names).agg(F.sum("_t").alias("_t"))), targets, whole, max_copies)
+    rate = _rate(pull, whole, max_copies)
     shifts = F.array(*map(F.lit, fit_shifts(fine, rate)))
     scored = apply(docs, id_col, text_col, names, model.score, carry=True) if carry else scored
     more = F.coalesce(_due(F.col("rate"), _chance(id_col)) < F.get(shifts, _likeliest()), F.lit(False))
