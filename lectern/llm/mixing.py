@@ -22,8 +22,9 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.89, "poor": 0.1, "toxic": 0.01}
 #: Posteriors are given to this many decimals, so documents with equal ones can be solved for together.
 DECIMALS = 3
-#: What a change of rates weighs against the error of the totals, and the share of the least squares by which they may be missed: roughly first, then to the end.
-ROUNDS = ((1e-4, 0.1), (1e-8, 1e-3))
+#: What a change of rates weighs against the error of the totals, the share of the least squares by which they may be missed, and the share
+#: of its target by which a domain's total may differ from the best one: roughly first, then to the end.
+ROUNDS = ((1e-4, 1e-2, 0.03), (1e-6, 1e-2, 0.01), (1e-8, 1e-3, 1e-3))
 #: Least squares that count as none.
 NOTHING = 1e-15
 #: Lengths tried of a step.
@@ -163,7 +164,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str
     want = np.array([targets[d] for d in DOMAINS]) * size
     weight = 1 / np.maximum(np.maximum(np.diag(curve), want), 1e-9)
     before = ROUNDS[0][0]
-    for change, share in ROUNDS:
+    for change, share, off in ROUNDS:
         # where targets are missed, the sum grows as a change of rates weighs less; where they are met, it stays
         pulls, low = [pull, pull * (before / change)], -math.inf
         while True:
@@ -174,7 +175,8 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, whole: str
                 break
             low, pull, totals, curve = bounds[best], pulls[best], found[best][2 : 2 + n], found[best][2 + n :].reshape(n, n)
             squares = float(weight @ (totals - want) ** 2 + change * found[best][1]) / 2
-            if squares - low <= share * squares + NOTHING:
+            # the squares are strongly convex in the totals, so the bound tells how far these are from the best ones
+            if squares - low <= max(NOTHING, min(share * squares, float((weight * (off * want) ** 2).min()) / 2)):
                 break
             step = np.linalg.solve(curve + change * np.diag(1 / weight), totals - want - change * pull / weight)
             pulls = [pull + step * x for x in LENGTHS]
