@@ -13,7 +13,6 @@ import os
 import urllib.error
 import urllib.parse
 import urllib.request
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,17 +87,16 @@ def rich_text(runs: Column) -> Column:
 def blocks_to_documents(blocks: DataFrame) -> DataFrame:
     """page_id, text from landed block rows: page_id, parent_id (null at the top), block_id, position, kind, rich_text, language.
 
-    Children follow their parent, down to ``DEPTH`` levels.
+    Children follow their parent, down to ``DEPTH`` levels. Each block looks its ancestors up, one join a level; blocks that reach no top drop out.
     """
-    view = f"_blocks_{uuid.uuid4().hex}"
-    blocks.withColumn("text", rich_text(F.col("rich_text"))).createOrReplaceTempView(view)
-    walked = blocks.sparkSession.sql(f"""
-        WITH RECURSIVE walk AS (
-          SELECT page_id, block_id, kind, text, language, 0 AS depth, lpad(cast(position AS string), 8, '0') AS path FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT b.page_id, b.block_id, b.kind, b.text, b.language, w.depth + 1, concat(w.path, '/', lpad(cast(b.position AS string), 8, '0'))
-          FROM walk w JOIN {view} b ON b.page_id = w.page_id AND b.parent_id = w.block_id WHERE w.depth < {DEPTH}
-        ) SELECT * FROM walk""")
+    place = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    walked = blocks.select("page_id", "kind", rich_text(F.col("rich_text")).alias("text"), "language", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), place("position").alias("path"))
+    above = blocks.select("page_id", F.col("block_id").alias("up"), F.lit(True).alias("_found"), F.col("parent_id").alias("_next"), place("position").alias("_place"))
+    for level in range(1, DEPTH + 1):
+        # a block at the top has no parent to meet; one whose parent isn't there is in no walk
+        walked = walked.join(above, ["page_id", "up"], "left").filter("up IS NULL OR _found")
+        walked = walked.select("page_id", "kind", "text", "language", F.col("_next").alias("up"), F.when(F.col("_found"), level).otherwise(F.col("depth")).alias("depth"), F.concat_ws("/", "_place", "path").alias("path"))
+    walked = walked.filter("up IS NULL")
     part = F.struct("path", F.struct("kind", "text", F.col("depth").cast("int").alias("depth"), "language").alias("block"))
     placed = walked.groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return placed.select("page_id", blocks_text(F.transform("parts", lambda p: p["block"])).alias("text"))
