@@ -57,11 +57,14 @@ def bm25_scores(candidates: DataFrame, counts: DataFrame, queries: DataFrame, ke
 
 
 def hit_scores(hits: DataFrame, stats: DataFrame, key: str = "seq") -> DataFrame:
-    """query_id, key, lexical: BM25 from ``hits`` (query_id, key, term, tf, len), the candidates' rows of query terms, and ``stats`` (query_id, n, avg) of all candidates."""
+    """query_id, key, lexical: BM25 from ``hits`` (query_id, key, term, tf, len), the candidates' rows of query terms, and ``stats`` (query_id, n, avg) of all candidates.
+
+    Terms are added up as decimals, whose sum doesn't depend on their order: texts that tie stay tied, so that their place decides between them.
+    """
     df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0)
     k1, b = fixed.BM25_K1, fixed.BM25_B
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
     scored = hits.join(df, ["query_id", "term"]).join(stats, "query_id")
-    return scored.groupBy("query_id", key).agg(F.sum(idf * gain).alias("lexical"))
+    return scored.groupBy("query_id", key).agg(F.sum((idf * gain).cast("decimal(28,18)")).cast("double").alias("lexical"))
