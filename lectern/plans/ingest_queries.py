@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable
 from html import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +70,13 @@ def _pdf(text: str) -> bytes:
 def upload_parse(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as files of every type, and read again; some types are not supported, and some files too long."""
 
-    @F.pandas_udf("binary")
-    def packed(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([_docx(t) if n.endswith(".docx") else _pdf(t) if n.endswith(".pdf") else (f"<h2>Top</h2><p>{t}</p>" if n.endswith(".Html") else t).encode() for n, t in zip(names, texts, strict=True)])
+    def packed(batch: pa.RecordBatch, i: int) -> tuple:
+        n, t = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+        return n, _docx(t) if n.endswith(".docx") else _pdf(t) if n.endswith(".pdf") else (f"<h2>Top</h2><p>{t}</p>" if n.endswith(".Html") else t).encode()
 
     name = F.concat(F.lit("notes "), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int")))
-    made = table(spark, d, "documents").select(name.alias("name"), packed(name, F.col("text")).alias("content"))
+    fields = pa.schema([("name", pa.string()), ("content", pa.binary())])
+    made = table(spark, d, "documents").select(name.alias("name"), "text").mapInArrow(files.by_pieces(packed, fields), "name string, content binary")
     size = F.when(F.col("name").endswith(".markdown"), 21 * 1024 * 1024).otherwise(F.length("content"))
     good, failed = files.parse_files(made.select("name", size.cast("bigint").alias("length"), "content"))
     none = F.lit(None).cast("string")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterator
 from html import escape
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +34,35 @@ def docx_html(data: bytes) -> str:
     return "".join(out)
 
 
-_PARSED = "struct<html:string,pages:array<string>,error:string>"
+#: Rows and bytes of content that a task hands on at once, at least one row.
+PIECE_ROWS, PIECE_BYTES = 64, 1 << 20
+_PARSED = "name string, html string, pages array<string>, error string"
 
 
-def _parse_binary(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    rows = []
-    for name, data in zip(names, contents, strict=True):
-        try:
-            rows.append((None, pdf_pages(data), None) if name.endswith(".pdf") else (docx_html(data), None, None))
-        except Exception as e:  # one file's failure is that file's answer
-            rows.append((None, None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(rows, columns=["html", "pages", "error"])
+def by_pieces(make: Callable[[pa.RecordBatch, int], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: the row that ``make`` gives for each row, handed on in pieces, so that what is made of a batch isn't held as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                held.append(make(batch, i))
+                size += len(batch.column(1)[i].as_buffer() or b"")
+                if len(held) >= PIECE_ROWS or size >= PIECE_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    held, size = [], 0
+            # freed memory goes back before the next batch is read: other tasks run beside this one
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _parse_binary(batch: pa.RecordBatch, i: int) -> tuple:
+    name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+    try:
+        return (name, None, pdf_pages(data), None) if name.lower().endswith(".pdf") else (name, docx_html(data), None, None)
+    except Exception as e:  # one file's failure is that file's answer
+        return name, None, None, f"{type(e).__name__}: {e}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -63,8 +82,9 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = gated.filter("_error is null")
     text = F.decode("content", "UTF-8")
     plain = ok.filter(~binary).select("name", F.when(low.endswith(".html") | low.endswith(".htm"), strip_html(text)).otherwise(text).alias("text"), F.lit(None).cast("string").alias("error"))
-    parsed = ok.filter(binary).select("name", F.pandas_udf(_parse_binary, _PARSED)(low, F.col("content")).alias("p"))
-    packed = parsed.select("name", F.when(F.col("p.pages").isNotNull(), page_text(F.col("p.pages"))).otherwise(strip_html(F.col("p.html"))).alias("text"), F.col("p.error").alias("error"))
+    fields = pa.schema([("name", pa.string()), ("html", pa.string()), ("pages", pa.list_(pa.string())), ("error", pa.string())])
+    parsed = ok.filter(binary).select("name", "content").mapInArrow(by_pieces(_parse_binary, fields), _PARSED)
+    packed = parsed.select("name", F.when(F.col("pages").isNotNull(), page_text(F.col("pages"))).otherwise(strip_html(F.col("html"))).alias("text"), "error")
     both = plain.unionByName(packed)
     none = F.lit(None).cast("string")
     documents = both.filter("error is null").select(F.concat(F.lit("upload:"), "name").alias("external_id"), file_title(F.col("name")).alias("title"), "text", F.lit("upload").alias("kind"), F.col("name").alias("origin"), none.alias("updated_at"))
