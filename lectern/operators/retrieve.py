@@ -323,11 +323,35 @@ def retrieve(chunks: DataFrame, documents: DataFrame, concepts: DataFrame, queri
         stale = checkpoint(found.groupBy("query_id").agg(F.bool_or("odd").alias("stale_index")))
         concept = carried_scores(chunks, by_name.join(stale.filter("not stale_index"), "query_id", "left_semi"))
         top = scan_topk(found, stale, lexical, concept, weights, k, few)
-    matched = matched_names(concepts, vectors.join(stale.filter("not stale_index"), "query_id", "left_semi"))
     top = F.broadcast(top) if few else top
     shown = documents.select(F.col("id").alias("document_id"), F.struct("id", "title", "kind", "origin").alias("document"))
     results = chunks.drop("embedding", "document_id").join(top, "seq").join(shown, "document_id")
     results = results.select("query_id", "rank", "seq", "id", "document_id", "ordinal", "text", "headings", "week", "concepts", "document", "score", F.struct("dense", "lexical", "concept").alias("breakdown"))
 
+    return results, _described(asked, vectors, concepts, stale)
+
+
+def _described(asked: DataFrame, vectors: DataFrame, concepts: DataFrame, stale: DataFrame) -> DataFrame:
+    """A row for each query: query_id, cleaned, applied_weeks, stale_index, matched_concepts. ``stale``: (query_id, stale_index) of those with candidates."""
+    matched = matched_names(concepts, vectors.join(stale.filter("not stale_index"), "query_id", "left_semi"))
     meta = asked.select("query_id", "cleaned", describe_filter(F.col("weeks"), F.col("week_numbers")).alias("applied_weeks")).join(stale, "query_id", "left").join(matched, "query_id", "left")
-    return results, meta.withColumns({"stale_index": F.coalesce("stale_index", F.lit(False)), "matched_concepts": F.coalesce("matched_concepts", F.array().cast("array<string>"))})
+    return meta.withColumns({"stale_index": F.coalesce("stale_index", F.lit(False)), "matched_concepts": F.coalesce("matched_concepts", F.array().cast("array<string>"))})
+
+
+def describe(chunks: DataFrame, documents: DataFrame, concepts: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The ``meta`` of ``retrieve``, for whoever wants no results: it depends on every candidate's width of vector, but on no text and no score.
+
+    Chunks of equal attributes and width are alike to all filters: they are grouped within the scan, and the groups meet the queries.
+    """
+    asked, vectors = checkpoint(prepare_queries(queries)), checkpoint(vectors)
+    few = is_few(asked)
+    # a chunk counts by its place, as in retrieve, where its terms are found by it
+    known = chunks.filter("seq is not null").withColumn("len", F.lit(0))
+    alike = ["document_id", "week", "concepts", "kind", "_width"]
+    groups = slim_chunks(known, documents).withColumn("_width", F.size("embedding")).groupBy(*alike).agg(F.min("seq").alias("seq"))
+    groups = checkpoint(groups.withColumns({"len": F.lit(0), "embedding": F.col("_width")}))
+    filtered = checkpoint(matches(groups, asked, few)) if _has_filters(asked) else None
+    width = asked.join(vectors.select("query_id", F.size("qv").alias("_asked")), "query_id", "left").withColumn("qv", F.col("_asked"))
+    found = pairs(groups, width, filtered, few)
+    odd = F.coalesce(F.col("qv") != F.col("embedding"), F.lit(False))
+    return _described(asked, vectors, concepts, checkpoint(found.groupBy("query_id").agg(F.bool_or(odd).alias("stale_index"))))

@@ -82,3 +82,13 @@ def test_search_over_nothing(corpus):
     assert results.count() == 0 and meta.count() == 8
     results, meta = R.retrieve(chunks, documents, concepts, queries.limit(0), 4, vectors)
     assert results.count() == 0 and meta.count() == 0
+
+
+def test_what_a_search_says_of_itself_needs_no_text_and_no_search(corpus):
+    chunks, documents, concepts, queries, vectors = corpus
+    odd = chunks.withColumn("embedding", F.when(F.col("seq") == 40, F.slice("embedding", 1, 2)).when(F.col("seq") != 44, F.col("embedding")))
+    for c in (chunks, odd):
+        want = R.retrieve(c, documents, concepts, queries, 4, vectors)[1]
+        found = R.describe(c.drop("text", "headings"), documents, concepts, queries, vectors)
+        assert found.columns == want.columns
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
