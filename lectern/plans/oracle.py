@@ -143,13 +143,14 @@ def _bm25(texts: str, questions: str, where: str) -> str:
 
 
 _QUESTIONS = f"questions AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % {EVERY} = 0)"
+_ALL_QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
 _GROUP = "substr(sha1(owner || ':' || source), 1, 16)"
 
 
-def _hybrid(where: str, k: int, weights: dict[str, float] = fixed.LOCAL_WEIGHTS, name: str = "ranked") -> str:
+def _hybrid(where: str, k: int, weights: dict[str, float] = fixed.LOCAL_WEIGHTS, name: str = "ranked", questions: str = _QUESTIONS) -> str:
     """CTEs down to ``name``: query_id, seq, document columns, raw and final scores, rank. Notes without an embedding row have no concept and a zero vector."""
     fused = " + ".join(f"{w} * ({_SCALE.format(c)})" for c, w in weights.items())
-    return f"""{NOTES_SQL}, {_QUESTIONS}, {_LABELS},
+    return f"""{NOTES_SQL}, {questions}, {_LABELS},
   base AS (SELECT n.*, e.embedding, e.label, {_GROUP} AS document_id, n.title || coalesce(' Topic label ' || e.label::VARCHAR, '') || ' ' || n.text AS lex FROM notes n LEFT JOIN embeddings e ON n.doc_id = e.vec_id),
   docs_ AS (SELECT {_GROUP} AS document_id, min(kind) AS doc_kind, any_value(source) AS doc_title FROM notes GROUP BY 1),
   placed AS (SELECT base.*, doc_kind, doc_title FROM base JOIN docs_ USING (document_id)),
@@ -354,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "study_context": f"""WITH {_hybrid('true', fixed.STUDY_K)}, c AS (SELECT query_id, string_agg('[' || rank::VARCHAR || '] ' || doc_title || ' — ' || title || ' — ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS c FROM ranked GROUP BY query_id)
           SELECT query_id, length(c)::BIGINT AS n_chars, sha1(c) AS context_sha1 FROM c""",
         "study_sources": f"WITH {_hybrid('true', fixed.STUDY_K)} SELECT query_id, rank, document_id || ':' || seq::VARCHAR AS chunk_id, doc_title AS document_title, {snippet('text', 200)} AS snippet FROM ranked",
-        "semantic_fusion": f"WITH {_hybrid('true', fixed.MAX_K, fixed.SEMANTIC_WEIGHTS)} SELECT query_id, seq, rank, round(score, 6) AS score FROM ranked",
+        "semantic_fusion": f"WITH {_hybrid('true', fixed.MAX_K, fixed.SEMANTIC_WEIGHTS, questions=_ALL_QUESTIONS)} SELECT query_id, seq, rank, round(score, 6) AS score FROM ranked",
         "filter_candidates": _candidates(),
         "search_meta": _META,
         "hashed_embedding": _embedding(),

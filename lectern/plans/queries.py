@@ -181,6 +181,10 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
+def _all_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text")
     q = _questions(spark, d)
@@ -202,8 +206,8 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """With the weights of a trained embedder."""
-    r = _search(spark, d, _questions(spark, d), fixed.MAX_K, semantic=True)
+    """With the weights of a trained embedder, for every row of the benchmark."""
+    r = _search(spark, d, _all_questions(spark, d), fixed.MAX_K, semantic=True)
     return r.select("query_id", "seq", long("rank").alias("rank"), F.round("score", 6).alias("score"))
 
 
