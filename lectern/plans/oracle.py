@@ -352,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "replace_concepts": f"WITH {index} SELECT id, owner_id, CASE WHEN owner_id = 'fr' THEN upper(name) ELSE name END AS name FROM idx",
         "study_cards": f"WITH {_hybrid('true', fixed.CARDS)} SELECT query_id, 'What do your notes say about ' || coalesce('Topic label ' || label::VARCHAR, title) || '?' AS front, {lead('text')} AS back, coalesce('Topic label ' || label::VARCHAR, title) AS concept FROM ranked",
         "study_summary": f"WITH {_hybrid('true', fixed.KEY_POINTS)} SELECT query_id, {lead('text')} AS key_point FROM ranked",
-        "study_context": f"""WITH {_hybrid('true', fixed.STUDY_K)}, c AS (SELECT query_id, string_agg('[' || rank::VARCHAR || '] ' || doc_title || ' — ' || title || ' — ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS c FROM ranked GROUP BY query_id)
+        "study_context": f"""WITH {_hybrid('true', fixed.STUDY_K, questions=_ALL_QUESTIONS)}, c AS (SELECT query_id, string_agg('[' || rank::VARCHAR || '] ' || doc_title || ' — ' || title || ' — ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS c FROM ranked GROUP BY query_id)
           SELECT query_id, length(c)::BIGINT AS n_chars, sha1(c) AS context_sha1 FROM c""",
         "study_sources": f"WITH {_hybrid('true', fixed.STUDY_K)} SELECT query_id, rank, document_id || ':' || seq::VARCHAR AS chunk_id, doc_title AS document_title, {snippet('text', 200)} AS snippet FROM ranked",
         "semantic_fusion": f"WITH {_hybrid('true', fixed.MAX_K, fixed.SEMANTIC_WEIGHTS, questions=_ALL_QUESTIONS)} SELECT query_id, seq, rank, round(score, 6) AS score FROM ranked",

@@ -396,7 +396,8 @@ def study_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def study_context(spark: SparkSession, d: str) -> DataFrame:
-    c = S.context(_search(spark, d, _questions(spark, d), fixed.STUDY_K))
+    """What a model is shown, for every row of the benchmark."""
+    c = S.context(_search(spark, d, _all_questions(spark, d), fixed.STUDY_K))
     return c.select("query_id", long(F.length("context")).alias("n_chars"), F.sha1("context").alias("context_sha1"))
 
 
